@@ -182,3 +182,30 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     place = np.minimum(np.searchsorted(among, values[at]), len(among) - 1)
     out[at] = among[place] == values[at]
     return out
+
+
+#: Bytes that end a word where case and punctuation shall not matter: all ASCII but letters and digits.
+PUNCTUATION = np.ones(256, np.bool_)
+PUNCTUATION[128:] = False
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+class Shingled:
+    """The k-word shingles of many texts, regardless of case and ASCII punctuation."""
+
+    def __init__(self, texts: list[str], k: int):
+        self.k = k
+        self.words = Words([x.lower().encode("utf-8", "surrogatepass") for x in texts], PUNCTUATION)
+        self.hashes = shingles(self.words.hashes(), k)
+
+    def hits(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (and their texts) of the shingles that the sorted array has, none of them across two texts."""
+        at = np.flatnonzero(member(self.hashes, among))
+        text = np.searchsorted(self.words.first, at, side="right") - 1
+        inside = at + self.k <= self.words.first[text + 1]
+        return at[inside], text[inside]
+
+    def of_text(self, i: int) -> np.ndarray:
+        """The shingles of text i."""
+        a, b = self.words.first[i], self.words.first[i + 1]
+        return self.hashes[a : max(a, b - self.k + 1)]
