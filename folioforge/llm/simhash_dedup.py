@@ -304,25 +304,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _marks(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """docs with two independent 64-bit hashes of the whole row; rows with both alike are taken as repeated."""
+    whole = [x for c, t in docs.dtypes for x in (F.to_json(F.col(f"`{c}`")) if "map<" in t or t == "variant" else F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return docs.withColumns({n: F.xxhash64(F.lit(i), *whole) for i, n in enumerate(names)})
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row, all columns, of each component: the least doc_id (null last); of equal doc_ids the least hash of the row."""
-    mark, again = "__simhash_mark", "__simhash_id"
+    """One row, all columns, of each component: the least doc_id (null last); of equal doc_ids the least hash of the row.
 
-    def stamped(df: DataFrame) -> DataFrame:
-        return df.withColumn(mark, F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"})))
+    The texts are shuffled once, by the hash of their row, to meet the rows that stay; hashes spread evenly.
+    """
+    names = ("__simhash_mark0", "__simhash_mark1")
 
     def make():
         def work(part: pa.RecordBatch) -> list:
-            return [part.column("doc_id"), part.column(mark), pa.array(fingerprints(whole_texts(part.column("text"))).view(np.int64))]
+            return [*(part.column(c) for c in ("doc_id", *names)), pa.array(fingerprints(whole_texts(part.column("text"))).view(np.int64))]
 
         return work
 
-    rows = cut(map_texts(stamped(docs), f"doc_id bigint, {mark} bigint, fp bigint", make, ("doc_id", mark, "text")))
+    marked = _marks(docs, names)
+    rows = cut(map_texts(marked, f"doc_id bigint, {names[0]} bigint, {names[1]} bigint, fp bigint", make, ("doc_id", *names, "text")))
     prints = cut(rows.select("fp").distinct())
     roots = components(links(prints))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # The first of a component: partial minima, so a component of any size is no one task's burden.
-    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark)).alias("m"))
-    keep = first.select(F.col("m.doc_id").alias(again), F.col(f"m.{mark}").alias(mark)).distinct()
-    kept = stamped(docs).join(keep.withColumnRenamed(mark, f"{mark}_"), F.col("doc_id").eqNullSafe(F.col(again)) & (F.col(mark) == F.col(f"{mark}_")), "left_semi")
-    return kept.dropDuplicates(["doc_id", mark]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names)).alias("m"))
+    keep = cut(first.select(*(F.col(f"m.{n}").alias(n) for n in names)))
+    return marked.join(keep, list(names), "left_semi").dropDuplicates(list(names)).select(*(F.col(f"`{c}`") for c in docs.columns))
