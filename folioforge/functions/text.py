@@ -231,7 +231,7 @@ def human_bytes(x: Column) -> Column:
 
 def progress(now: Column, total: Column) -> Column:
     """Whole percent, 99 at most; 0 of nothing."""
-    return F.coalesce(F.least(F.lit(99), F.floor(F.try_divide(now, total) * 100).cast("int")), F.lit(0))
+    return F.least(F.lit(99), F.coalesce(F.floor(F.try_divide(now, total) * 100).cast("int"), F.lit(0)))
 
 
 def date_range(first: Column, last: Column) -> Column:
