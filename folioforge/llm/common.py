@@ -6,7 +6,10 @@ A text operator is a narrow map over Arrow batches: no shuffle, memory bounded b
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,16 +28,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, which all executors and the driver see; one of our own only where that is unset."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if "folder" not in _OWN:
+        _OWN["folder"] = tempfile.mkdtemp(prefix="folioforge-")
+        atexit.register(shutil.rmtree, _OWN["folder"], ignore_errors=True)
+    return _OWN["folder"]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors cost no recomputation.
+    """df, computed once and written to the shared folder, so that lost executors cost no recomputation.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is set only where that is unset.
+    A table that is read again also brings a fresh plan with true sizes; a checkpoint would carry all constraints of the
+    plan before it along, which grow beyond bounds in a loop.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        given = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="folioforge-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/folioforge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -266,25 +266,24 @@ def _block_value(pair: tuple[int, int]):
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b): root is the same for all nodes of a component.
 
-    Each round every node takes the least of its neighbours and itself as parent, parents are followed once more, and edges
-    are redrawn between parents; those within a node go. Every node that isn't less than all its neighbours goes each round.
+    Each round every node takes the least of its neighbours and itself as parent, parents are followed to their ends (the
+    depth doubles with each join), and edges are redrawn between the ends: only nodes less than all their neighbours remain.
     """
     live = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known: DataFrame | None = None
     while not live.isEmpty():
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
-        above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jumped = cut(parent.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
+        moved = True
+        while moved:
+            jumped = cut(parent.join(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            moved, parent = not jumped.filter("moved").isEmpty(), jumped.select("node", "up")
         if known is None:
-            known = jumped.withColumnRenamed("up", "root")
-        else:  # roots so far move up; nodes never seen before can't appear
-            known = known.join(jumped.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        known = cut(known)
-        to = lambda c: jumped.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
-        live = cut(
-            live.join(to("a"), "a").join(to("b"), "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).filter("a <> b").distinct()
-        )
+            known = parent.withColumnRenamed("up", "root")
+        else:  # roots so far move up
+            known = cut(known.join(parent.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        to = lambda c, parent=parent: parent.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
+        live = cut(live.join(to("a"), "a").join(to("b"), "b").select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).filter("a <> b").distinct())
     return known if known is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
