@@ -129,28 +129,45 @@ def temperature_of(z: np.ndarray, y: np.ndarray) -> float:
     return float(min(tried, key=lambda t: np.logaddexp(0, np.where(y > 0.5, -z, z) / t).mean()))
 
 
+def _groups(rows: list, most: int = 50_000) -> list[list]:
+    """The rows in runs of about so many words, which bound the memory of learning."""
+    out: list[list] = [[]]
+    held = 0
+    for r in rows:
+        if held and held + len(r[0]) > most:
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += len(r[0])
+    return out
+
+
 def trained(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     """rows: buckets, shapes and label of each training document, in order of their hash."""
     y = np.array([r[2] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(share=float(y.mean()) if len(y) else 0.5)
-    index = index_vectors()
-    context = np.zeros_like(index)
-    for k in (0, 1):
-        # A gap as wide as the window after each text keeps neighbours within it.
-        gap = np.full(NEIGHBOURS, len(index))
-        ids = np.concatenate([x for r in rows for x in (r[k], gap)])
-        own = np.vstack((index, np.zeros((1, DIMENSIONS), np.float32)))[ids]
-        around = np.zeros_like(own)
-        for s in range(1, NEIGHBOURS + 1):
-            around[s:] += own[:-s]
-            around[:-s] += own[s:]
-        real = ids < len(index)
-        for d in range(DIMENSIONS):
-            context[:, d] += np.bincount(ids[real], weights=around[real, d], minlength=len(index)).astype(np.float32)
+    index = np.vstack((index_vectors(), np.zeros((1, DIMENSIONS), np.float32)))
+    context = np.zeros((len(index), DIMENSIONS))
+    gap = np.full(NEIGHBOURS, len(index) - 1)  # as wide as the window, so that neighbours are within a text
+    groups = _groups(rows)
+    for group in groups:
+        for k in (0, 1):
+            ids = np.concatenate([x for r in group for x in (r[k], gap)])
+            own = index[ids]
+            around = np.zeros_like(own)
+            for s in range(1, NEIGHBOURS + 1):
+                around[s:] += own[:-s]
+                around[:-s] += own[s:]
+            for d in range(DIMENSIONS):
+                context[:, d] += np.bincount(ids, weights=around[:, d], minlength=len(index))
+    context = context[:-1].astype(np.float32)
     vectors = context / (np.linalg.norm(context, axis=1, keepdims=True) + 1e-6)
-    first = lambda k: np.cumsum([0, *(len(r[k]) for r in rows)])
-    x = np.hstack([pooled(vectors, np.concatenate([r[k] for r in rows]), first(k)) for k in (0, 1)]).astype(np.float64)
+
+    def means(group: list, k: int) -> np.ndarray:
+        return pooled(vectors, np.concatenate([r[k] for r in group]), np.cumsum([0, *(len(r[k]) for r in group)]))
+
+    x = np.vstack([np.hstack((means(g, 0), means(g, 1))) for g in groups]).astype(np.float64)
     unseen = np.arange(len(y)) % 5 == 4
     temperature = 1.0
     if len(set(y[~unseen].tolist())) == 2 and unseen.any():
