@@ -1,7 +1,7 @@
 """Operator 10, benchmark decontamination.
 
-Windows as long as the benchmark's items get a SimHash fingerprint of their five-word shingles, each weighed by how rare
-it is among items. A multi-index over blocks of the fingerprint finds every item within ``RADIUS`` differing bits: with
+Windows as long as the benchmark's items, trimmed to the first and last shingle they share with the item, get a SimHash
+fingerprint of their five-word shingles, each weighed by how rare it is among items. A multi-index over blocks of the fingerprint finds every item within ``RADIUS`` differing bits: with
 b blocks, two fingerprints that differ in r bits differ in at most r // b bits of some block, and the index of a block
 lists the items for every value within that distance. Each candidate is verified by its exact weighted Jaccard similarity.
 
@@ -82,12 +82,13 @@ class Benchmark:
         self.all, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]), return_counts=True)
         self.weights = np.log1p(len(able) / np.maximum(df, 1))
         self.rarest = math.log1p(len(able))
-        # Where each shingle stands in which item, and that item's length in shingles.
-        place = [(int(s), q, len(x)) for x in own for q, s in enumerate(x.tolist())]
+        # Where each shingle stands in which item.
+        place = [(int(s), q, k) for k, x in enumerate(own) for q, s in enumerate(x.tolist())]
         place.sort()
         self.place_at = np.searchsorted(np.array([p[0] for p in place], np.uint64), self.all) if place else np.zeros(0, np.int64)
         self.place_at = np.append(self.place_at, len(place))
         self.place = np.array([p[1:] for p in place], np.int64).reshape(-1, 2)
+        self.lengths = [len(x) for x in own]
         self.index = HammingBlocks(np.array([fingerprint(x, self.weigh(x)) for x in self.sets], np.uint64))
         self.sums = [float(self.weigh(x).sum()) for x in self.sets]
 
@@ -107,18 +108,21 @@ class Benchmark:
             begin, end = int(got.words.first[t]), int(got.words.first[t + 1]) - SHINGLE + 1
             windows = set()
             for p, w in zip(at[mine].tolist(), which[mine].tolist(), strict=True):
-                for q, n in self.place[self.place_at[w] : self.place_at[w + 1]].tolist():
-                    windows.add((max(begin, p - q), n))
+                windows.update((max(begin, p - q), k) for q, k in self.place[self.place_at[w] : self.place_at[w + 1]].tolist())
             best: dict[int, tuple] = {}
-            for start, n in sorted(windows):
-                own = np.unique(got.hashes[start : min(start + n, end)])
+            for start, k in sorted(windows):
+                window = got.hashes[start : min(start + self.lengths[k], end)]
+                shared = np.flatnonzero(np.isin(window, self.sets[k]))
+                first, last = int(shared[0]), int(shared[-1]) + 1
+                own = np.unique(window[first:last])
                 weights = self.weigh(own)
                 print_ = fingerprint(own, weights)
-                for i in self.index.find(print_).tolist():
-                    shared = float(weights[np.isin(own, self.sets[i], assume_unique=True)].sum())
-                    similarity = shared / (float(weights.sum()) + self.sums[i] - shared)
-                    if similarity >= self.similarity - 1e-12 and (i not in best or similarity > best[i][-1]):
-                        best[i] = (start - begin, min(n, end - start) + SHINGLE - 1, int(distance(print_, self.index.prints[i])), similarity)
+                if k not in self.index.find(print_):
+                    continue
+                common = float(weights[np.isin(own, self.sets[k], assume_unique=True)].sum())
+                similarity = common / (float(weights.sum()) + self.sums[k] - common)
+                if similarity >= self.similarity - 1e-12 and (k not in best or similarity > best[k][-1]):
+                    best[k] = (start + first - begin, last - first + SHINGLE - 1, int(distance(print_, self.index.prints[k])), similarity)
             for i in sorted(best):
                 yield t, i, *best[i]
 

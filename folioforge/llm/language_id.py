@@ -135,7 +135,8 @@ class Parser:
             ahead = table[now * symbols + c]
             miss = ahead == 0
             again = first[:, c]
-            found[:, :k] += (miss & (now != roots)) + (again == 0)
+            found[:, :k] += miss & (now != roots)
+            found[:, :k] += again == 0
             state[:, :k] = np.where(miss, np.where(again == 0, roots, again), ahead)
         found += state != roots
         for i in range(n):
