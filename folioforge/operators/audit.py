@@ -67,6 +67,12 @@ def append_events(events: DataFrame, new: DataFrame, version: str = "1") -> Data
     return events.unionByName(filled, allowMissingColumns=True)
 
 
+def by_category(results: DataFrame) -> DataFrame:
+    """Results by their first category."""
+    first = F.coalesce(F.nullif(F.try_element_at("categories", F.lit(1)), F.lit("")), F.lit("unknown"))
+    return results.groupBy(first.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- citations -------------------------------------------------------------------------------------------------------
 
 

@@ -477,6 +477,76 @@ def event_json_meta(spark, d):
     return b.events(spark, d).groupBy("event").agg(F.sum(F.get_json_object("meta", "$.k").cast("bigint")).alias("k"), F.count(F.lit(1)).alias("n"))
 
 
+@query(b.sql("select q.sf_id, case when l.sf_id is null then q.download_status else 'failed' end as download_status, case when l.sf_id is null then '' else substring(l.reason, 1, 500) end as failed_reason from q left join (select l_orderkey as sf_id, repeat('late ', 150) as reason from lineitem group by l_orderkey having max(l_discount) > 0.09) l on l.sf_id = q.sf_id", Q))
+def mark_status(spark, d):
+    """Papers whose lines say so fail, with a clipped reason."""
+    papers = b.queue(spark, d)[0].withColumn("failed_reason", F.lit(""))
+    late = b.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sf_id")).agg(F.max("l_discount").alias("m")).filter("m > 0.09")
+    return queueing.mark(papers, late.select("sf_id", F.lit("failed").alias("status"), F.repeat(F.lit("late "), 150).alias("reason"))).select("sf_id", "download_status", "failed_reason")
+
+
+@query(b.sql("select q.sf_id, case when q.download_status = 'pending' and a.id_value in (select id_value from qids where id_type = 'arxiv' and sf_id in (select l_orderkey from lineitem where l_tax > 0.07)) then 'done' else q.download_status end as download_status from q join qids a on a.sf_id = q.sf_id and a.id_type = 'arxiv'", Q))
+def backfill_done(spark, d):
+    """Pending papers whose file is there are done."""
+    papers, ids = b.queue(spark, d)
+    taxed = b.read(spark, d, "lineitem").filter("l_tax > 0.07").select(F.col("l_orderkey").alias("sf_id")).distinct()
+    stems = ids.filter("id_type = 'arxiv'").join(taxed, "sf_id", "left_semi").select(F.col("id_value").alias("arxiv_id")).distinct()
+    return queueing.backfill_done(papers, ids, stems).select("sf_id", "download_status")
+
+
+@query(b.sql("select c.name as source, n.n_name as query, cast(n.n_regionkey as integer) as priority from nation n cross join (select r_name as name from region where r_name <> 'ASIA') c"))
+def plan_tasks(spark, d):
+    """Every enabled source for every query."""
+    queries = b.read(spark, d, "nation").selectExpr("n_name as query", "n_regionkey as priority")
+    sources = b.read(spark, d, "region").selectExpr("r_name as source", "r_name <> 'ASIA' as enabled")
+    return queueing.plan_tasks(queries, sources).select("source", "query", "priority")
+
+
+@query(b.sql("select case when lang = 'fr' then 'unknown' else lang end as category, count(*) as n from papers group by 1", P))
+def results_by_category(spark, d):
+    p = b.papers(spark, d)
+    return audit.by_category(p.select(F.when(F.col("lang") == "fr", F.array().cast("array<string>")).otherwise(F.split("categories", " ")).alias("categories")))
+
+
+@query(b.sql("select sf_id, n_in * 0.5::double + n_out * 1.5::double as cost, n_in + n_out <= 6000 and n_in * 0.5 + n_out * 1.5 <= 4000 as fits from (select doc_id as sf_id, n_chars as n_in, n_chars // 4 as n_out from documents)"))
+def budget_check(spark, d):
+    docs = b.read(spark, d, "documents").selectExpr("doc_id as sf_id", "n_chars as n_in", "n_chars div 4 as n_out")
+    i, o = F.col("n_in"), F.col("n_out")
+    return docs.select("sf_id", tx.usage_cost(i, o, 0.5, 1.5).alias("cost"), tx.within_budget(i, o, 0.5, 1.5, 6000, 4000.0).alias("fits"))
+
+
+@query(b.sql(r"select sf_id, regexp_extract(t, '(\d{4}\.\d{4,5})(?:v\d+)?', 1) as arxiv, regexp_extract(t, '10\.\d{4,}/[^\s]+') as doi, case when regexp_matches(arxiv_id, '^[0-9]{2}') then 2000 + cast(substring(arxiv_id, 1, 2) as integer) else 0 end as year from (select sf_id, arxiv_id, abstract || ' https://arxiv.org/abs/' || arxiv_id || 'v4 doi:10.1000/' || cast(sf_id as varchar) || '. end' as t from papers)", P))
+def identifier_extract(spark, d):
+    """Identifiers at the end of whole texts."""
+    t = F.concat("abstract", F.lit(" https://arxiv.org/abs/"), "arxiv_id", F.lit("v4 doi:10.1000/"), F.col("sf_id").cast("string"), F.lit(". end"))
+    return b.papers(spark, d).select("sf_id", tx.arxiv_id(t).alias("arxiv"), tx.doi(t).alias("doi"), tx.arxiv_year(F.col("arxiv_id")).alias("year"))
+
+
+@query(b.sql("select sf_id as ordinal, '10.1000/' || cast(sf_id as varchar) as doi, case when lang = 'en' then arxiv_id else '' end as arxiv_id from papers", P))
+def doi_batch_resolve(spark, d):
+    """Answers come in chunks of ten, by position; unknown ones are empty."""
+    p = b.papers(spark, d)
+    answers = p.groupBy(F.floor(F.col("sf_id") / 10).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("sf_id", F.when(F.col("lang") == "en", F.col("arxiv_id")).alias("a")))), lambda x: x["a"]).alias("response"))
+    return matching.resolve_batches(p.select(F.col("sf_id").alias("ordinal"), F.concat(F.lit("10.1000/"), F.col("sf_id").cast("string")).alias("doi")), answers)
+
+
+@query(b.sql("select arxiv_id, case when lang = 'en' then 'a' when doi <> '' then 'b' else 'c' end as code_url from meta", P, I, M))
+def code_tiered_match(spark, d):
+    """The first tier of level three or more, else the last that was tried."""
+    m = b.with_doi(spark, d)
+    tier = lambda url, level: m.select("arxiv_id", F.lit(url).alias("code_url"), level.alias("level"))
+    return matching.tiered_match([tier("a", F.when(F.col("lang") == "en", 4).otherwise(1)), tier("b", F.when(F.col("doi") != "", 3).otherwise(0)), tier("c", F.lit(2))]).select("arxiv_id", "code_url")
+
+
+@query(b.sql("select event as source, cast(sum(cast(floor(duration_s) as bigint)) as bigint) as total_fetched, 'failed' as status, 'stopped' as error from ev group by event union all select 'new', 0, 'failed', 'stopped'", E))
+def state_set_status(spark, d):
+    """A status change keeps the counters."""
+    updates = b.events(spark, d).selectExpr("event as source", "status", "cast(floor(duration_s) as bigint) as fetched", "0L as new", "batch_id as last_update", "'' as checksum", "'' as error", "id as ordinal")
+    state = store.accumulate_state(updates)
+    changes = state.select("source").union(spark.createDataFrame([("new",)], "source string")).withColumns({"status": F.lit("failed"), "error": F.lit("stopped")})
+    return store.set_status(state, changes).select("source", "total_fetched", "status", "error")
+
+
 # ---- confidence, code, pages -----------------------------------------------------------------------------------------
 
 
