@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRA
         .groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.xxhash64(F.first("doc_id")).alias("h"))
     )
     rows = []
-    for r in texts.toLocalIterator():
+    for r in texts.coalesce(8).toLocalIterator():
         buckets, _, shapes, _ = word_ids([r["text"]])
         rows.append((r["h"], r["doc_id"], buckets.astype(np.int32), shapes.astype(np.int32), wanted[r["doc_id"]]))
     rows.sort(key=lambda r: r[:2])
