@@ -249,9 +249,9 @@ def links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
     split = routed.join(small(crowded), "place").select("place", "fp", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks").cast("bigint")).cast("int").alias("c"))
     pairs = split.select(
         "place", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("d")
-    ).select(F.xxhash64("place", F.least("c", "d"), F.greatest("c", "d")).alias("place"), F.when(F.col("c") == F.col("d"), F.lit(-1)).otherwise(F.col("c")).cast("int").alias("half"), "fp", (F.col("c") == F.col("d")).alias("own"))
+    ).select(F.xxhash64("place", F.least("c", "d"), F.greatest("c", "d")).alias("place"), F.when(F.col("c") == F.col("d"), F.lit(-1)).otherwise(F.col("c")).cast("int").alias("half"), "fp")
     # A task of two different chunks compares across them only; each chunk's inner pairs are its task (c, c).
-    both = plain.unionByName(pairs.select("place", "half", "fp"))
+    both = plain.unionByName(pairs)
     return _place_links(both.repartition("place").sortWithinPartitions("place", "half", "fp"))
 
 

@@ -240,3 +240,15 @@ def test_extra_columns_pass_the_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_cut_tables_are_swept(spark, tmp_path):
+    from pathlib import Path
+
+    from folioforge.llm import common
+
+    t = common.cut(spark.range(5))
+    folder = Path(t.inputFiles()[0].removeprefix("file://")).parent
+    assert t.count() == 5 and folder.exists()
+    common.sweep(spark)
+    assert not folder.exists()
