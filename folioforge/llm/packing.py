@@ -35,7 +35,7 @@ from .common import slices, whole_texts
 SIZE = 2048
 END_ID = 1
 RUN_IDS = 4_000_000
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 1_000_000
 SLACK = 48
 
 
