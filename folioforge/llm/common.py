@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows up to which a table of a few bytes a row may be broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 50_000
 
