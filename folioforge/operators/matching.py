@@ -30,8 +30,8 @@ def title_classes(papers: DataFrame, key: str, title: str) -> DataFrame:
 def trigram_pairs(classes: DataFrame, least: float) -> DataFrame:
     """a, b, sim of distinct titles whose trigrams have a Jaccard similarity of ``least`` or more; a < b. Exact.
 
-    Prefix filter: of trigrams in order of frequency, two titles that similar share one among the first
-    size - ceil(least * size) + 1 of either. There are at most some 50,000 trigrams of letters, digits and blanks,
+    Prefix filter: of trigrams in order of frequency, two titles that similar share k among the first
+    size - ceil(least * size) + k of either. There are at most some 50,000 trigrams of letters, digits and blanks,
     so their frequencies are a small table.
     """
     if least <= 0:
@@ -40,16 +40,22 @@ def trigram_pairs(classes: DataFrame, least: float) -> DataFrame:
     each = rows.select("rep", F.explode("t").alias("g"))
     order = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ranked = each.join(F.broadcast(order), "g").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "g"))), lambda s: s["g"]).alias("t"))
+    # From a threshold of 0.6 on, two shared trigrams of a prefix longer by one are a far rarer key than one.
+    k = 2 if least >= 0.6 else 1
     size = F.size("t")
-    first = ranked.select("rep", "t", F.explode(F.slice("t", F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)).alias("g"))
-    a, b = first.select(F.col("rep").alias("a"), F.col("t").alias("ta"), "g"), first.select(F.col("rep").alias("b"), F.col("t").alias("tb"), "g")
-    near = (F.size("tb") >= F.size("ta") * F.lit(least) - 1e-9) & (F.size("ta") >= F.size("tb") * F.lit(least) - 1e-9)
-    met = a.join(b, "g").filter((F.col("a") < F.col("b")) & near)
-    # A pair that meets on several trigrams is kept where it meets first in the order of either title's prefix.
-    both = F.array_intersect("ta", "tb")
-    met = met.filter(F.col("g") == F.element_at(both, 1))
-    sim = F.size(both).cast("double") / (F.size("ta") + F.size("tb") - F.size(both))
-    return met.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= least - 1e-12)
+    prefix = F.slice("t", F.lit(1), F.least(size, size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + k))
+    if k == 2:
+        pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.filter("p", lambda y, j: j > i), lambda y: F.concat(x, y))))
+        keys = F.when(size == 1, F.col("t")).otherwise(pairs)
+    else:
+        keys = F.col("p")
+    first = ranked.withColumn("p", prefix).select("rep", F.size("t").alias("n"), F.explode(keys).alias("g")).select("rep", "n", F.xxhash64("g").alias("g"))
+    # Only ids and sizes meet on the keys; the trigrams join the candidate pairs, each of which is compared once.
+    a, b = (first.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), "g") for x in "ab")
+    near = (F.col("nb") >= F.col("na") * F.lit(least) - 1e-9) & (F.col("na") >= F.col("nb") * F.lit(least) - 1e-9)
+    met = a.join(b, "g").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    ta, tb = (ranked.select(F.col("rep").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+    return met.join(ta, "a").join(tb, "b").select("a", "b", tx.jaccard(F.col("ta"), F.col("tb")).alias("sim")).filter(F.col("sim") >= least - 1e-12)
 
 
 def best_by(df: DataFrame, key: str, score: str, order: str) -> DataFrame:
