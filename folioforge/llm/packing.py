@@ -35,8 +35,10 @@ from .common import slices, whole_texts
 SIZE = 2048
 END_ID = 1
 RUN_IDS = 4_000_000
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 SLACK = 48
+#: More text at once than for other operators: a word that is new to several of its documents is looked up once.
+SLICE_BYTES = 4 << 20
 
 
 class TokenIds:
@@ -232,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID
             held = 0
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE_BYTES):
                 names += part.column("doc_id").to_pylist()
                 got = [x + last for x in words.of(whole_texts(part.column("text")))]
                 ids += got
