@@ -193,8 +193,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRA
         buckets, _, shapes, _ = word_ids([r["text"]])
         rows.append((r["h"], r["doc_id"], buckets.astype(np.int32), shapes.astype(np.int32), wanted[r["doc_id"]]))
     rows.sort(key=lambda r: r[:2])
-    within = np.cumsum([len(r[2]) for r in rows]) <= train_words
-    return trained([r[2:] for r, fits in zip(rows, within, strict=True) if fits])
+    left, within = train_words, []
+    for r in rows:  # one that doesn't fit keeps out no later one
+        if len(r[2]) <= left:
+            left -= len(r[2])
+            within.append(r[2:])
+    if rows and not within:
+        raise ValueError(f"no labelled document has at most {train_words} words; nothing can be learnt")
+    return trained(within)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
