@@ -1,6 +1,7 @@
 """Operators 1, 2, 4, 6, 7, 8 and 10 against brute force, exact round trips or held-out accuracy, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -320,52 +321,109 @@ def test_leaks_contained(spark, sf_dir, texts):
 
 
 def brute_leaks(texts, items):
-    """Every window of each item's size, trimmed to what it shares with the item, without weights (all shingles here are rare)."""
-    w = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    """Similarity of every text and item at their best window: all windows of all sizes, trimmed, with weights over all items."""
+    w = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
     sh = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
-    out = set()
-    for i, t in texts.items():
+    all_items = [(k, sh(w(x))) for k, x in items]
+    all_items = [(k, x) for k, x in all_items if x]
+    held = Counter(g for _, x in all_items for g in set(x))
+    weigh = lambda g: max(1, round(1000 * math.log1p(len(all_items) / held.get(g, 1))))
+    total = lambda c: sum(weigh(g) * n for g, n in c.items())
+    out = {}
+    for i, t in texts:
         own = sh(w(t))
-        for k, x in items.items():
-            item = sh(w(x))
-            for s in range(len(own)):
-                win = own[s : s + len(item)]
-                at = [j for j, g in enumerate(win) if g in item]
-                if at:
-                    trimmed = set(win[at[0] : at[-1] + 1])
-                    if len(trimmed & set(item)) / len(trimmed | set(item)) >= 0.8:
-                        out.add((i, k))
-    return out
-
-
-def test_leaks_against_all_windows(spark):
-    rnd = random.Random(10)
+        for k, item in all_items:
+            have = Counter(item)
+            for size in {min(len(own), -(-len(item) * tenths // 10)) for tenths in (10, 9, 8)}:
+                for s in range(len(own) - size + 1 if own else 0):
+                    win = own[s : s + size]
+                    at = [j for j, g in enumerate(win) if g in have]
+                    if at:
+                        both = total(Counter(win[at[0] : at[-1] + 1]) & have)
+                        alike = both / (total(Counter(win[at[0] : at[-1] + 1])) + total(have) - both)
+                        out[i, k] = max(alike, out.get((i, k), 0))
+    return {x: v for x, v in out.items() if v >= 0.8 - 1e-12}
+
+
+def _planted(seed, n_texts=60, sizes=(8, 70)):
+    rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 7)))
-    items = {k: " ".join(word() for _ in range(rnd.randint(8, 70))) for k in range(30)} | {30: "too short", 31: None}
+    shared = " ".join(word() for _ in range(12))  # a passage of many items, so that weights differ
+    items = {k: " ".join(word() for _ in range(rnd.randint(*sizes))) + (" " + shared if k % 3 == 0 else "") for k in range(30)} | {30: "too short", 31: None, 32: "la " * 20}
     texts = {}
-    for i in range(60):
+    for i in range(n_texts):
         body = [word() for _ in range(rnd.randint(0, 80))]
         own = items[rnd.randrange(30)].split()
         for _ in range(rnd.choice([0, 0, 1, 1, 2])):
             own[rnd.randrange(len(own))] = word()
+        own = own[: len(own) - rnd.choice([0, 0, 0, len(own) // 12, len(own) // 7])]
         if i % 3:
             body[rnd.randint(0, len(body)) : 0] = own if i % 2 else ", ".join(own).upper().split()
-        texts[i] = " ".join(body)
+        texts[i] = " ".join(body) if i != 4 else "oh la " + "la " * 19
+    return texts, items
+
+
+def test_leaks_against_all_windows(spark):
+    texts, items = _planted(10)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     found = decontamination.find_leaks(df, bench).collect()
-    got, want = {(r.doc_id, r.item_id) for r in found}, brute_leaks(texts, {k: v for k, v in items.items() if v})
-    assert got == want and len(want) > 20 and all(r.n_bits <= decontamination.RADIUS for r in found)
+    got, want = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in found}, {k: round(v, 9) for k, v in brute_leaks(texts.items(), items.items()).items()}
+    assert got == want and len(want) > 20 and any(v < 1 for v in want.values()) and all(r.n_bits <= decontamination.RADIUS for r in found)
     kept = {r.doc_id for r in decontamination.without_leaks(df, bench).collect()}
     assert kept == set(texts) - {i for i, _ in want}
 
 
-def test_hamming_blocks_guarantee():
+def test_leaks_dont_depend_on_blocks_of_items(spark):
+    """Whether items come in blocks of four or all at once, and in whatever partitions, rows are the same."""
+    texts, items = _planted(11, 24)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = lambda b, **more: sorted(tuple(r) for r in decontamination.find_leaks(df, b, **more).collect())
+    want = rows(bench)
+    assert want and rows(bench, size=8) == want and rows(bench.repartition(3).sortWithinPartitions(F.desc("item_id")), size=12) == want
+    assert {r.doc_id for r in decontamination.without_leaks(df, bench, size=12).collect()} == {i for i in texts if i not in {x[0] for x in want}}
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 12, 20, 37, 60, 120])
+def test_recall_by_item_length(n):
+    """Items of n words, copies with as many changes as leave a similarity of 0.8 or a little more: what the index misses of them."""
+    rnd = random.Random(n)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    texts, items = [], []
+    for k in range(150):
+        item = [word() for _ in range(n)]
+        own, cut = list(item), rnd.randrange(3)
+        if cut == 0:  # cut short as far as the similarity allows
+            own = own[: 4 + -(-(n - 4) * 4 // 5)]
+        elif n >= 49:
+            own[rnd.randrange(5, n - 5)] = word()
+        elif n >= 12:
+            own[0] = word()
+        texts.append((k, " ".join([word() for _ in range(rnd.randint(0, 6))] + own + [word() for _ in range(rnd.randint(0, 6))])))
+        items.append((k, " ".join(item)))
+    got = decontamination.Shingled([x for _, x in items], 5)
+    bench = decontamination.Benchmark([(k, got.of_text(k), np.ones(len(got.of_text(k)), np.int64)) for k, _ in items], len(items))
+    found = {(t, i) for t, i, *_ in bench.matches([x for _, x in texts])}
+    mine = {(k, k) for k in range(150) if brute_leaks([texts[k]], [items[k]])}
+    assert len(mine) > 100 and len(found & mine) >= 0.99 * len(mine)
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_hamming_blocks_guarantee(n):
+    """Few fingerprints (looked through) and many (looked up): all pairs within the radius, and no others; few candidates."""
     rng = np.random.default_rng(11)
-    prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    index = decontamination.HammingBlocks(prints, radius=20)
-    for p in [*prints[:20], *(prints[:40] ^ np.uint64(0b1011 << 30)), *rng.integers(0, 1 << 63, 40, dtype=np.uint64)]:
-        assert index.find(int(p)).tolist() == np.flatnonzero(np.bitwise_count(prints ^ p) <= 20).tolist()
+    prints = rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64)
+    index = decontamination.HammingBlocks(prints)
+    near = prints[:120].copy()
+    for k in range(120):
+        for b in rng.choice(256, k, replace=False):
+            near[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    asked = np.vstack((prints[:20], near, rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64)))
+    got = set(zip(*(x.tolist() for x in index.find(asked)), strict=True))
+    far = np.bitwise_count(asked[:, None, :] ^ prints[None, :, :]).sum(axis=2)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= decontamination.RADIUS)), strict=True)) and len(got) >= 84
+    assert len(index._candidates(np.ascontiguousarray(asked).view("<u2"))) < 0.25 * far.size
 
 
 def test_leak_edges(spark):
@@ -374,4 +432,7 @@ def test_leak_edges(spark):
     one = spark.createDataFrame([(1, "word " * 12), (1, "word " * 12), (None, "null id text here and more")], "item_id long, text string")
     assert decontamination.find_leaks(df, none).count() == 0 and decontamination.without_leaks(df, none).count() == df.count()
     assert {r.doc_id for r in decontamination.find_leaks(df, one).collect()} == {5}
+    twice = spark.createDataFrame([(1, "x y alpha beta gamma delta epsilon zeta, alpha beta gamma delta epsilon zeta"), (2, None)], "doc_id long, text string")
+    item = spark.createDataFrame([(7, "Alpha beta gamma delta epsilon zeta!")], "item_id long, text string")
+    assert [(r.first_word, r.n_words, r.similarity) for r in decontamination.find_leaks(twice, item).collect()] == [(2, 6, 1.0)]
     assert decontamination.without_leaks(df, one).columns == df.columns and decontamination.find_leaks(df.limit(0), one).count() == 0
