@@ -5,7 +5,9 @@ its neighbours in the training texts, normalised. A document is the mean of its
 shapes' vectors. A two-layer numpy network gives a logit; a temperature fitted on a fold it hasn't seen calibrates it.
 
 Learning takes at most ``TRAIN_ROWS`` labelled documents and ``TRAIN_WORDS`` words, those with the least hash of doc_id that
-``learn`` admits; the bound doesn't grow with the input. Scoring is a narrow map over whole texts.
+``learn`` admits; the bound doesn't grow with the input. Executors cut the chosen texts into words, and the driver reads
+those that fit the bound, so a labelled text of any length is no burden to it: one that doesn't fit is left out, and no later one with it.
+Scoring is a narrow map over whole texts; a score is a function of the text and the model alone, whatever stands beside it.
 
 Null or empty text: a document without words has the zero vector and is scored as such. Null doc_id: scored, never learnt
 from. Null quality: not learnt from; of several labels for a document their mean decides. No labels, or one class only: every
@@ -14,14 +16,15 @@ score is the share of label 1 (0.5 without labels). Repeated rows and further co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, filter_texts, map_texts, whole_texts
+from .common import PUNCTUATION, Words, cut, filter_texts, map_texts, whole_texts
 from .language_id import is_held_out
 
 DIMENSIONS = 32
@@ -63,10 +66,11 @@ def word_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     last, before = kind[written.end - 1], kind[np.maximum(written.end - 2, written.start)]
     shouted = (capitals[written.end] - capitals[written.start]) * 2 > length
     size = np.minimum(np.log2(length).astype(np.int64), 4)
-    # A word that says the word before it again (across two texts: the first word of a text, which is one in many).
+    # A word that says the word before it in the same text again.
     written.data = _LOWER[written.data]
     same = written.hashes()
     again = np.concatenate(([False], same[1:] == same[:-1]))[: len(same)]
+    again[written.first[written.first < len(same)]] = False
     shape = (((last * 6 + before) * 2 + shouted) * 5 + size) * 2 + again
     return buckets, plain.first, BUCKETS + shape, written.first
 
@@ -97,7 +101,8 @@ class Model:
     def score(self, texts: list[str]) -> np.ndarray:
         if self.layers is None:
             return np.full(len(texts), self.share)
-        return 1 / (1 + np.exp(-np.clip(logits(self.layers, self.features(texts)) / self.temperature, -30, 30)))
+        # Nine places: how many texts are scored at once may change the last bits of a matrix product.
+        return np.round(1 / (1 + np.exp(-np.clip(logits(self.layers, self.features(texts)) / self.temperature, -30, 30))), 9)
 
 
 def logits(layers: tuple, x: np.ndarray) -> np.ndarray:
@@ -186,21 +191,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRA
     ids = docs.sparkSession.createDataFrame([(x,) for x in wanted], "doc_id bigint")
     texts = (
         docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.xxhash64(F.first("doc_id")).alias("h"))
+        .groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
-    rows = []
-    for r in texts.coalesce(8).toLocalIterator():
-        buckets, _, shapes, _ = word_ids([r["text"]])
-        rows.append((r["h"], r["doc_id"], buckets.astype(np.int32), shapes.astype(np.int32), wanted[r["doc_id"]]))
-    rows.sort(key=lambda r: r[:2])
-    left, within = train_words, []
-    for r in rows:  # one that doesn't fit keeps out no later one
-        if len(r[2]) <= left:
-            left -= len(r[2])
-            within.append(r[2:])
-    if rows and not within:
+
+    def make():
+        def work(part: pa.RecordBatch) -> list:
+            buckets, at, shapes, shapes_at = word_ids(whole_texts(part.column("text")))
+            runs = lambda x, at: [x[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return [part.column("doc_id"), pa.array(np.diff(at)), pa.array(runs(buckets, at), pa.binary()), pa.array(runs(shapes, shapes_at), pa.binary())]
+
+        return work
+
+    # Words stay on the executors' side until it is known which documents fit; the driver reads those alone.
+    read = cut(map_texts(texts, "doc_id bigint, n bigint, buckets binary, shapes binary", make))
+    left, fit_ = train_words, []
+    for r in sorted(read.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").collect()):
+        if r["n"] <= left:  # one that doesn't fit keeps out no later one
+            left -= r["n"]
+            fit_.append(r["doc_id"])
+    if wanted and not fit_ and not read.isEmpty():
         raise ValueError(f"no labelled document has at most {train_words} words; nothing can be learnt")
-    return trained(within)
+    of = {x: k for k, x in enumerate(fit_)}
+    within = sorted(((of[r["doc_id"]], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shapes"], "<i4"), wanted[r["doc_id"]]) for r in _few(read, fit_)), key=lambda r: r[0])
+    return trained([r[1:] for r in within])
+
+
+def _few(df: DataFrame, ids: list) -> Iterator[Row]:
+    """The rows of those ids, one partition at a time."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame([(x,) for x in ids], "doc_id bigint")), "doc_id", "left_semi").toLocalIterator()
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

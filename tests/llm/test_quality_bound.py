@@ -19,3 +19,30 @@ def test_a_long_document_keeps_out_no_other(spark):
     assert score[0] > 0.5 > score[1] and np.isfinite(score).all()
     with pytest.raises(ValueError, match="nothing can be learnt"):
         quality_model.fit(long, labels, F.lit(True), train_words=1)
+
+
+def test_scores_dont_depend_on_neighbours(spark):
+    texts = ["good words in a row.", "row. row good", "", None, "good", "good good BAD!!", "words words in a row.", "x" * 3000] + [f"good words {i} in a row." if i % 2 else "BAD!! " * 9 for i in range(80)]
+    df = table(spark, texts)
+    labels = df.select("doc_id", (F.coalesce("text", F.lit("")).startswith("good")).cast("int").alias("quality"))
+    model = quality_model.fit(df, labels, F.lit(True))
+    alone = [float(model.score([x or ""])[0]) for x in texts]
+    assert model.score([x or "" for x in texts]).tolist() == alone and model.score([x or "" for x in texts[::-1]]).tolist() == alone[::-1]
+    rows = lambda d: sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in quality_model.scores(d, model).collect())
+    assert rows(df) == rows(df.repartition(7)) == rows(df.orderBy(F.desc("text")).coalesce(1))
+    again = quality_model.fit(df.repartition(5), labels.repartition(3), F.lit(True))
+    assert again.score([x or "" for x in texts]).tolist() == alone
+
+
+def test_long_labelled_texts_stay_off_the_driver(spark):
+    """Forty texts of 200,000 words under a bound of 1,000: only what fits is collected."""
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, F.repeat(F.lit("word "), 200_000)).when(F.col("id") % 2 == 0, F.lit("good words in a row.")).otherwise(F.lit("BAD!! BAD!!")).alias("text"))
+    labels = df.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    seen = []
+    few = quality_model._few
+    quality_model._few = lambda d, ids: (seen.append(r) or r for r in few(d, ids))
+    try:
+        model = quality_model.fit(df, labels, F.lit(True), train_words=1000)
+    finally:
+        quality_model._few = few
+    assert sorted(r.doc_id for r in seen) == list(range(40, 60)) and model.score(["good words in a row."])[0] > 0.5
