@@ -6,7 +6,10 @@ however long, is parsed in parallel lanes). The language with the fewest phrases
 training text's length, wins; ties go to the first language in order of name.
 
 Training: at most ``slots`` documents and ``train_letters`` letters a language, chosen by hash of doc_id among those with
-text, language and a doc_id that ``learn`` admits. These bounds don't grow with the input; every text is predicted whole.
+text, language and a doc_id that ``learn`` admits; each of these documents gives as many letters from its beginning as any other
+that is long enough. Beyond ten languages each gets ``MOST_STATES`` / 2 letters divided by their number. These bounds don't
+grow with the input; every text is predicted whole. Transitions are hashed, some hundred bytes a state, so memory doesn't
+depend on the size of an alphabet.
 
 Null text, or text without a letter: ``und``, score 0. Null doc_id: predicted, never learnt from, held_out false. No
 language to learn from: ``und`` everywhere. Repeated rows and further columns don't matter.
@@ -67,8 +70,54 @@ def suffix_automaton(s: str) -> list[dict[str, int]]:
     return to
 
 
+class Transitions:
+    """(state, symbol) -> state, 0 for none: a hash table of four slots or more a transition, whatever the alphabet's size.
+
+    A slot is one number, state and symbol above TO_BITS bits of the state that follows; -1 is a free slot.
+    """
+
+    TO_BITS = 24
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, to: np.ndarray, n_symbols: int):
+        self.n_symbols = np.int64(n_symbols)
+        self.bits = max(4, (4 * len(to) - 1).bit_length())
+        self.mask = np.int64((1 << self.bits) - 1)
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        key = states * self.n_symbols + symbols
+        if len(key) and (int(to.max()) >> self.TO_BITS or int(key.max()) >> 63 - self.TO_BITS):
+            raise ValueError("too many states or symbols")
+        cell, at = key << self.TO_BITS | to, self._slot(key)
+        while len(cell):  # the first to come to a free slot takes it, the others go on to the next one
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free[::-1]]] = cell[free[::-1]]
+            left = self.slots[at] != cell
+            cell, at = cell[left], (at[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def __call__(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        key = states * self.n_symbols + symbols
+        slot = self._slot(key)
+        held = self.slots[slot]
+        other = (held >> self.TO_BITS) != key
+        out = held & ((1 << self.TO_BITS) - 1)
+        out[other] = 0
+        flat = out.reshape(-1)
+        at = np.flatnonzero(other & (held >= 0))
+        key, slot = key.reshape(-1)[at], slot.reshape(-1)[at]
+        while len(at):  # what another key has taken the place of
+            slot = (slot + 1) & self.mask
+            held = self.slots[slot]
+            hit = held >> self.TO_BITS == key
+            flat[at[hit]] = held[hit] & ((1 << self.TO_BITS) - 1)
+            on = np.flatnonzero(~hit & (held >= 0))
+            at, key, slot = at[on], key[on], slot[on]
+        return out
+
+
 class Parser:
-    """All languages' automata in one table of transitions: table[state * symbols + symbol], 0 for none."""
+    """All languages' automata in one table of transitions."""
 
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
@@ -77,14 +126,11 @@ class Parser:
         self.symbols = len(used) + 1  # the last one: a letter no language has shown
         number = {c: i for i, c in enumerate(used)}
         built = [suffix_automaton(training[x]) for x in self.langs]
-        self.root = np.cumsum([1, *map(len, built)])[:-1].astype(np.int32)
-        self.table = np.zeros((1 + sum(map(len, built))) * self.symbols, np.int32)
-        for root, states in zip(self.root.tolist(), built, strict=True):
-            for i, step in enumerate(states):
-                for c, j in step.items():
-                    self.table[(root + i) * self.symbols + number[c]] = root + j
+        self.root = np.cumsum([1, *map(len, built)])[:-1].astype(np.int64)
+        rows = [(root + i, number[c], root + j) for root, states in zip(self.root.tolist(), built, strict=True) for i, step in enumerate(states) for c, j in step.items()]
+        self.table = Transitions(*np.array(rows, np.int64).reshape(-1, 3).T.copy(), self.symbols)
         # code point -> symbol + 1; 0: no letter. Lower case where that is one character.
-        self.code = np.zeros(0x110000, np.int16)
+        self.code = np.zeros(0x110000, np.int32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
@@ -123,16 +169,16 @@ class Parser:
         order = np.argsort(-length, kind="stable")
         owner, begin, length = owner[order], begin[order], length[order]
         lanes = np.searchsorted(-length, -np.arange(BLOCK), side="left")  # lanes longer than t
-        table, symbols, n = self.table, self.symbols, len(self.langs)
+        table, n = self.table, len(self.langs)
         roots = self.root[:, None]
-        first = table[roots * symbols + np.arange(symbols)]
+        first = table(roots, np.arange(self.symbols))
         state = np.broadcast_to(roots, (n, len(owner))).copy()
         found = np.zeros((n, len(owner)), np.int32)
         for t in range(int(length[0])):
             k = lanes[t]
             c = stream[begin[:k] + t]
             now = state[:, :k]
-            ahead = table[now * symbols + c]
+            ahead = table(now, c)
             miss = ahead == 0
             again = first[:, c]
             found[:, :k] += miss & (now != roots)
@@ -179,14 +225,22 @@ def training_texts(docs: DataFrame, learn: Column, train_letters: int = TRAIN_LE
     if not langs:
         return ()
     most = min(train_letters, MOST_STATES // (2 * len(langs)))
-    each = max(64, most // slots * 4)  # letters of one document, so that many documents have a say
-    texts = able.filter(F.col("doc_id").isin([d for _, d in ids])).select("lang", "doc_id", F.substring("text", 1, 4 * each).alias("text")).distinct()
+    texts = able.filter(F.col("doc_id").isin([d for _, d in ids])).select("lang", "doc_id", F.substring("text", 1, 4 * most).alias("text")).distinct()
     have: dict[str, list[str]] = {x: [] for x in langs}
     allowed = set(ids)
-    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for r in sorted(texts.toLocalIterator(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         if (r["lang"], r["doc_id"]) in allowed:
-            have[r["lang"]].append(letters(r["text"])[:each])
-    return tuple((x, "".join(have[x])[:most]) for x in langs if "".join(have[x]).strip())
+            have[r["lang"]].append(letters(r["text"]))
+    return tuple((x, joined) for x in langs if (joined := fair_share(have[x], most)).strip())
+
+
+def fair_share(texts: list[str], most: int) -> str:
+    """The beginnings of all texts, ``most`` letters together: as much of each as of any other that is long enough."""
+    left, share = most, {}
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), left // (len(texts) - k))
+        left -= share[i]
+    return "".join(x[: share[i]] for i, x in enumerate(texts))
 
 
 def languages(docs: DataFrame, training: tuple[tuple[str, str], ...]) -> DataFrame:

@@ -103,9 +103,15 @@ def test_line_quality_edges(spark):
 # ---- 2 ---------------------------------------------------------------------------------------------------------------
 
 
+def symbols_of(text):
+    """What is parsed: small letters, one space for each run of others, a line end after the text."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in f"{text}\n"]
+    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in low))
+
+
 def brute_phrases(text, training):
-    """Longest matches by substring search, block by block."""
-    s = language_id.letters(text)[1:]
+    """Longest matches by substring search, block by block; a letter that never occurs is a phrase."""
+    s = symbols_of(text)
     n = 0
     for lo in range(0, len(s), language_id.BLOCK):
         block, i = s[lo : lo + language_id.BLOCK], 0
@@ -120,18 +126,28 @@ def brute_phrases(text, training):
 
 def test_phrases_against_substring_search():
     rnd = random.Random(4)
-    train = {"aa": language_id.letters("the cat and the hat sat on that mat " * 3), "bb": language_id.letters("der hund und die katze " * 4)}
+    cjk = "".join(chr(0x4E00 + rnd.randrange(3500)) for _ in range(900))
+    train = {"aa": language_id.letters("the cat and the hat sat on that mat " * 3), "bb": language_id.letters("der hund und die katze " * 4), "zz": language_id.letters(cjk)}
     p = language_id.Parser(train)
-    cases = ["The cat", "hund, katze!", "xyz", "", "123", "the" * 200, "é der ñ"] + ["".join(rnd.choice("abcdeht  .z") for _ in range(rnd.randint(0, 700))) for _ in range(60)]
+    cases = ["The cat", "hund, katze!", "xyz", "", "123", "the" * 200, "é der ñ", "İx \n ẞ", cjk[100:700], "a", " a "] + ["".join(rnd.choice("abcdeht  .z" + cjk[:3]) for _ in range(rnd.randint(0, 700))) for _ in range(80)]
     got, counts = p.phrases(cases)
     for x, row, n in zip(cases, got, counts, strict=True):
         if not any(c.isalpha() for c in x):
             assert n == 0 and not row.any()
         else:
-            s = language_id.letters(x)[1:]
-            assert n in (len(s), len(s) - 1, len(s) + 1)
-            for k, lang in enumerate(p.langs):
-                assert abs(row[k] - brute_phrases(x, train[lang])) <= 2 + n // language_id.BLOCK
+            assert n == len(symbols_of(x)) and row.tolist() == [brute_phrases(x, train[lang]) for lang in p.langs]
+
+
+def test_language_ties_and_wide_alphabets():
+    same = language_id.letters("the cat and the hat")
+    assert language_id.Parser({"b": same, "a": same, "c": same}).predict(["the hat", "x", ""])[0] == ["a", "a", "und"]
+    rnd = random.Random(5)
+    wide = language_id.Parser({x: "".join(chr(0x4E00 + rnd.randrange(20_000)) for _ in range(20_000)) for x in "ab"})
+    assert wide.table.slots.nbytes < 50_000_000
+
+
+def test_every_chosen_document_has_a_say():
+    assert language_id.fair_share(["aaaa", "b", "cccccc", "dd"], 9) == "aaabcccdd" and language_id.fair_share(["ab"], 9) == "ab" and language_id.fair_share([], 9) == ""
 
 
 def test_language_held_out_accuracy(spark):
