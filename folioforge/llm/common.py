@@ -222,7 +222,8 @@ class Shingled:
     def __init__(self, texts: list[str], k: int):
         self.k = k
         self.words = Words([x.lower().encode("utf-8", "surrogatepass") for x in texts], PUNCTUATION)
-        self.hashes = shingles(self.words.hashes(), k)
+        self.word_hashes = self.words.hashes()
+        self.hashes = shingles(self.word_hashes, k)
 
     def hits(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (and their texts) of the shingles that the sorted array has, none of them across two texts."""

@@ -4,17 +4,21 @@ Overlapping windows of each text, as long as a template plus a stride, are MinHa
 all rows of some band are candidates, and the template's exact shingle containment in the window decides. Strides are an
 eighth of the template, so a window around a copy that holds 0.8 of the template's shingles has a Jaccard similarity of at
 least ``LEAST_JACCARD``; the number of bands follows from the collision probability that is asked for (``bands_for``).
+Texts of different licenses that share most shingles (versions, families, clauses) are told apart by phrases that the window
+must hold or must not. A template of fewer than five words, such as an SPDX line, is one shingle of all its words.
 
-Only windows that share a shingle with a template can collide with it, so only those are hashed. A narrow map; the
-templates are a fixed list (or the caller's), a few kilobytes.
+A license may have several templates; the best window of any counts. Only windows that share a shingle with a template can
+collide with it, so only those are hashed. A narrow map; the templates are a fixed list (or the caller's), some kilobytes.
 
-Null or empty text: no license. Repeated rows are each scanned; null doc_ids are carried; further columns don't matter.
+Null or empty text: no license. Of windows of equal containment the first one is told. Repeated rows are each scanned; null
+doc_ids are carried; further columns don't matter. A text of any length is scanned whole.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -71,24 +75,119 @@ TEMPLATES = {
 }
 
 
+# Further notices and opening passages; GNU licenses name themselves and their version.
+_GNU = (
+    "This {kind} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software "
+    "Foundation, either version {version} of the License, or (at your option) any later version. This {kind} is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+)
+_GNU_BODY = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+MORE = {
+    "MIT": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Apache-2.0": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "Unlicense": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "GPL-2.0-or-later": _GNU.format(kind="program", name="GNU General Public License", version="2"),
+    "LGPL-2.1-or-later": _GNU.format(kind="library", name="GNU Lesser General Public License", version="2.1"),
+    "LGPL-3.0-or-later": _GNU.format(kind="program", name="GNU Lesser General Public License", version="3"),
+    "AGPL-3.0-or-later": _GNU.format(kind="program", name="GNU Affero General Public License", version="3"),
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. " + _GNU_BODY,
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _GNU_BODY,
+    "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. " + _GNU_BODY,
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _GNU_BODY,
+    "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _GNU_BODY,
+}
+# Names under which notices cite a license.
+NAMES = {
+    "MIT": ("MIT License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "ISC": ("ISC License",),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"),
+    "EPL-2.0": ("Eclipse Public License 2.0",),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPLv3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3"),
+    "CC0-1.0": ("CC0 1.0 Universal license",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license"),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0 license"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+    "BSL-1.0": ("Boost Software License, Version 1.0",),
+}
+_FORMS = ("Licensed under the {}", "Released under the {}", "Distributed under the {}", "Available under the {}", "Under the terms of the {}")
+#: Phrases that a window must hold, and must not, for a license to be told from its kin.
+MUST = {
+    "GPL-2.0-or-later": ("GNU General Public License", "version 2"), "GPL-3.0-or-later": ("GNU General Public License", "version 3"), "LGPL-2.1-or-later": ("Lesser General Public License", "version 2.1"),
+    "LGPL-3.0-or-later": ("Lesser General Public License", "version 3"), "AGPL-3.0-or-later": ("Affero General Public License", "version 3"), "GPL-2.0": ("GNU General Public License", "Version 2"),
+    "GPL-3.0": ("GNU General Public License", "Version 3"), "LGPL-2.1": ("Lesser General Public License", "Version 2.1"), "LGPL-3.0": ("Lesser General Public License", "Version 3"),
+    "AGPL-3.0": ("Affero General Public License", "Version 3"), "BSD-3-Clause": ("Neither the name",),
+}
+MUST_NOT = {"BSD-2-Clause": ("Neither the name",)}
+
+
+def default_templates() -> dict[str, tuple[str, ...]]:
+    """Every license's texts: passages, notices by name (as ``<license>-notice``) and SPDX lines."""
+    out: dict[str, tuple[str, ...]] = {}
+    for texts in (TEMPLATES, MORE):
+        for name, text in texts.items():
+            out[name] = (*out.get(name, ()), text)
+    for name, cited in NAMES.items():
+        notice = f"{name}-notice"
+        out[notice] = (*out.get(notice, ()), *(f.format(x) for x in cited for f in _FORMS), *(f"SPDX-License-Identifier: {name}{x}" for x in (("", "-only", "-or-later") if "GPL" in name else ("",))))
+    return out
+
+
 def bands_for(jaccard: float, rows: int, probability: float) -> int:
     """Bands with which two sets of that similarity agree in some band with at least that probability."""
     return math.ceil(math.log(1 - probability) / math.log(1 - jaccard**rows))
 
 
+def _phrase(text: str) -> np.ndarray:
+    return Shingled([text], 1).word_hashes
+
+
+@dataclass
+class Group:
+    """Templates of one shingle size: which license each is of, its set of shingles, band keys, and phrases by word hashes."""
+
+    size: int
+    licenses: list[int] = field(default_factory=list)
+    sets: list[np.ndarray] = field(default_factory=list)
+    must: list[list[np.ndarray]] = field(default_factory=list)
+    must_not: list[list[np.ndarray]] = field(default_factory=list)
+
+
 class Templates:
-    def __init__(self, templates: dict[str, str], containment: float = CONTAINMENT):
-        self.containment = containment
-        got = Shingled(list(templates.values()), SHINGLE)
-        self.names = [x for i, x in enumerate(templates) if len(got.of_text(i))]
-        self.sets = [np.unique(got.of_text(i)) for i in range(len(templates)) if len(got.of_text(i))]
-        self.all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]))
+    def __init__(self, templates: Mapping[str, str | Sequence[str]], containment: float = CONTAINMENT, must: Mapping = MUST, must_not: Mapping = MUST_NOT):
+        self.containment, self.names = containment, list(templates)
         self.bands = bands_for(LEAST_JACCARD, ROWS, COLLISION)
         self.seeds = mixed(np.arange(1, self.bands * ROWS + 1, dtype=np.uint64))
-        self.keys = np.array([self.band_keys(x) for x in self.sets])
-        # Which templates hold a shingle, and the lengths (in shingles) of windows to try around it.
-        self.lengths = sorted({len(x) for x in self.sets})
-        self.of_shingle = {int(s): [k for k, x in enumerate(self.sets) if s in x] for s in self.all}
+        groups: dict[int, Group] = {}
+        for k, (name, texts) in enumerate(templates.items()):
+            for text in dict.fromkeys([texts] if isinstance(texts, str) else texts):
+                n = len(_phrase(text))
+                if n:
+                    g = groups.setdefault(min(n, SHINGLE), Group(min(n, SHINGLE)))
+                    g.licenses.append(k)
+                    g.sets.append(np.unique(Shingled([text], g.size).of_text(0)))
+                    g.must.append([_phrase(x) for x in must.get(name, ())])
+                    g.must_not.append([_phrase(x) for x in must_not.get(name, ())])
+        self.groups = []
+        for g in groups.values():
+            all_ = np.unique(np.concatenate(g.sets))
+            lengths = {int(s): {len(x) for x in g.sets if s in x} for s in all_}
+            self.groups.append((g, all_, lengths, np.array([self.band_keys(x) for x in g.sets]), np.array([len(x) for x in g.sets])))
 
     def band_keys(self, hashes: np.ndarray) -> np.ndarray:
         """MinHash values, a key for each band."""
@@ -96,38 +195,51 @@ class Templates:
         return mixed(least[:, 0] + np.uint64(3) * mixed(least[:, 1]))
 
     def found(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, float]]:
-        """(text, template, first word, words, containment): the best window of each text and template."""
-        if not self.names:
-            return
-        got = Shingled(texts, SHINGLE)
-        at, text = got.hits(self.all)
-        for t in np.unique(text).tolist():
-            begin, end = int(got.words.first[t]), int(got.words.first[t + 1]) - SHINGLE + 1
-            windows = set()
-            for p in at[text == t].tolist():
-                for n in {len(self.sets[k]) for k in self.of_shingle[int(got.hashes[p])]}:
-                    stride = max(1, n // 8)
-                    # Windows begin at multiples of the stride; all that hold the shingle.
-                    first = max(0, -(-(p - begin - n - stride + 1) // stride))
-                    windows.update((begin + s * stride, n + stride) for s in range(first, (p - begin) // stride + 1))
-            best: dict[int, tuple] = {}
-            for start, n in sorted(windows):
-                own = np.unique(got.hashes[start : min(start + n, end)])
-                agree = (self.keys == self.band_keys(own)).any(axis=1)
-                for k in np.flatnonzero(agree).tolist():
-                    share = float(np.isin(self.sets[k], own, assume_unique=True).mean())
-                    if share >= self.containment - 1e-12 and (k not in best or share > best[k][-1]):
-                        best[k] = (start - begin, min(n, end - start) + SHINGLE - 1, share)
-            for k in sorted(best):
-                yield t, k, *best[k]
+        """(text, license, first word, words, containment): the best window of each text and license."""
+        best: dict[tuple[int, int], tuple] = {}
+        for g, all_, lengths, keys, sizes in self.groups:
+            got = Shingled(texts, g.size)
+            at, text = got.hits(all_)
+            for t in np.unique(text).tolist():
+                begin, end = int(got.words.first[t]), int(got.words.first[t + 1]) - g.size + 1
+                windows = set()
+                for p in at[text == t].tolist():
+                    for n in lengths[int(got.hashes[p])]:
+                        # Windows begin at multiples of the stride; all that hold the shingle. One shingle: itself.
+                        stride = max(1, n // 8)
+                        wide = n + stride if n > 1 else 1
+                        first = max(0, -(-(p - begin - wide + 1) // stride))
+                        windows.update((begin + s * stride, wide, n) for s in range(first, (p - begin) // stride + 1))
+                for start, wide, n in sorted(windows):
+                    own = np.unique(got.hashes[start : min(start + wide, end)])
+                    for k in np.flatnonzero((keys == self.band_keys(own)).any(axis=1) & (sizes == n)).tolist():
+                        share = float(np.isin(g.sets[k], own, assume_unique=True).mean())
+                        words = min(wide, end - start) + g.size - 1
+                        one = (-share, start - begin, words)
+                        key = t, g.licenses[k]
+                        if share >= self.containment - 1e-12 and (key not in best or one < best[key]) and self._told(got, g, k, start, words):
+                            best[key] = one
+        for t, k in sorted(best):
+            share, first, words = best[t, k]
+            yield t, k, first, words, -share
+
+    @staticmethod
+    def _told(got: Shingled, g: Group, k: int, start: int, words: int) -> bool:
+        """Whether the window's words hold every phrase that they must, and none that they must not."""
+        own = got.word_hashes[start : start + words]
+
+        def has(phrase: np.ndarray) -> bool:
+            return len(own) >= len(phrase) and bool((np.lib.stride_tricks.sliding_window_view(own, len(phrase)) == phrase).all(axis=1).any())
+
+        return all(map(has, g.must[k])) and not any(map(has, g.must_not[k]))
 
 
 SCHEMA = "doc_id bigint, license string, first_word bigint, n_words bigint, containment double"
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
-    """A row for each document and template that it holds, with the best window."""
-    templates = TEMPLATES if templates is None else templates
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+    """A row for each document and license that it holds, with the best window."""
+    templates = default_templates() if templates is None else templates
 
     def make():
         known = Templates(templates, containment)

@@ -201,6 +201,55 @@ def test_license_copies_with_changes(spark):
     assert licenses.scan_licenses(table(spark, ODD)).count() == 0
 
 
+def told(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [set() for _ in texts]
+    for r in licenses.scan_licenses(df).collect():
+        got[r.doc_id].add(r.license)
+    return got
+
+
+def test_versions_and_families_are_told_apart(spark):
+    t = licenses.default_templates()
+    names = ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-3-Clause", "CC0-1.0", "EPL-2.0", "Zlib"]
+    for name, got in zip(names, told(spark, *(f"before this {t[name][0]} and after" for name in names)), strict=True):
+        assert {x for x in got if not x.endswith("notice")} == ({name, "BSD"} if name.startswith("BSD") else {name}), name
+    two = told(spark, t["BSD-2-Clause"][0])[0]
+    assert {"BSD-2-Clause", "BSD"} == two
+    assert told(spark, "It is released under the terms of the MIT License, says he.", "# SPDX-License-Identifier: MIT\nx = 1", "// SPDX-License-Identifier: GPL-2.0-only", "the MIT people license nothing") == [{"MIT-notice"}, {"MIT-notice"}, {"GPL-2.0-notice"}, set()]
+
+
+def test_licenses_against_all_windows(spark):
+    """Exact containment in every window of the grid, license by license."""
+    rnd = random.Random(12)
+    every = [(name, x) for name, xs in licenses.default_templates().items() for x in xs]
+    w = lambda t: re.findall("[a-z0-9]+", t.lower())
+    texts = []
+    for _ in range(40):
+        body = w(rnd.choice(every)[1]) * rnd.choice([1, 1, 2])
+        for _ in range(rnd.choice([0, 1, 2, 5, 9])):
+            body[rnd.randrange(len(body))] = "zz"
+        lead = [rnd.choice(["the", "of", "software", "license", "qq"]) for _ in range(rnd.randint(0, 30))]
+        texts.append(" ".join(lead + body[: rnd.randint(len(body) * 3 // 4, len(body))] + w(rnd.choice(every)[1])[: rnd.randint(0, 40)]))
+    want = [set() for _ in texts]
+    for i, t in enumerate(texts):
+        words = w(t)
+        for name, x in every:
+            k = min(5, len(w(x)))
+            sh = lambda y, k=k: [tuple(y[j : j + k]) for j in range(len(y) - k + 1)]
+            own, item = sh(words), set(sh(w(x)))
+            n = len(item)
+            stride = max(1, n // 8)
+            wide = n + stride if n > 1 else 1
+            for s in range(0, len(own), stride):
+                said = " " + " ".join(words[s : s + min(wide, len(own) - s) + k - 1]) + " "
+                holds = lambda p, said=said: f" {' '.join(w(p))} " in said
+                if len(item & set(own[s : s + wide])) >= 0.8 * n - 1e-9 and all(map(holds, licenses.MUST.get(name, ()))) and not any(map(holds, licenses.MUST_NOT.get(name, ()))):
+                    want[i].add(name)
+                    break
+    assert told(spark, *texts) == want and sum(map(len, want)) > 40
+
+
 # ---- 6 ---------------------------------------------------------------------------------------------------------------
 
 
