@@ -3,6 +3,11 @@
 Each document keeps its pre-tokens under a segment tree with the sums of characters and of tokens. An edit re-encodes only
 the pre-tokens that it touches, those before it that look at text it changes, and those after it until the old and the new
 cuts meet again; then the sums on the way to the root are updated. Counts equal those of the edited text encoded anew.
+The text lies in pieces in the leaves, so an edit copies those leaves that it touches and never the whole; a leaf that has grown is
+split.
+
+The registered query revises every text: long numbers are masked, and a passage is inserted, one cut out and one
+replaced at places that a hash of the text draws, so that each document's tree is edited. Edits at equal places come in that order.
 
 Null text counts as empty: zero tokens, no edits. Null or repeated doc_ids and further columns don't matter; each row is
 counted by itself. A narrow map: no shuffle, memory for one slice and a bounded memo of pre-tokens.
@@ -66,16 +71,21 @@ class PreTokens:
 
 
 class CountTree:
-    """A document's pre-tokens in leaves of a segment tree, with sums of characters and tokens."""
+    """A document's pre-tokens, with its text in pieces, in leaves of a segment tree with sums of characters and tokens."""
 
     def __init__(self, text: str, pre: PreTokens):
-        self.pre, self.text = pre, text
+        self.pre, self.reencoded = pre, 0
         parts = pre.cut(text)
-        lengths, counts = list(map(len, parts)), pre.counts(parts)
-        self.reencoded = 0
+        self._plant(parts, pre.counts(parts))
+
+    def _plant(self, parts: list[str], counts: list[int]) -> None:
         cuts = range(0, max(1, len(parts)), LEAF)
-        self.lengths = [lengths[i : i + LEAF] for i in cuts]
+        self.texts = ["".join(parts[i : i + LEAF]) for i in cuts]
+        self.lengths = [list(map(len, parts[i : i + LEAF])) for i in cuts]
         self.counts = [counts[i : i + LEAF] for i in cuts]
+        self._sum_up()
+
+    def _sum_up(self) -> None:
         self.leaves = 1 << (len(self.lengths) - 1).bit_length()
         self.chars, self.tokens = ([0] * (2 * self.leaves) for _ in range(2))
         for tree, leaves in ((self.chars, self.lengths), (self.tokens, self.counts)):
@@ -87,6 +97,10 @@ class CountTree:
     def total(self) -> int:
         return self.tokens[1]
 
+    @property
+    def text(self) -> str:
+        return "".join(self.texts)
+
     def _find(self, at: int) -> tuple[int, int, int]:
         """Leaf, place in it and start of the pre-token that holds character ``at`` (the end: past the last)."""
         if at >= self.chars[1]:
@@ -116,45 +130,76 @@ class CountTree:
     def edit(self, start: int, end: int, put: str) -> None:
         """text[start:end] becomes ``put``."""
         leaf, k, at = self._find(max(0, start - LOOK_AHEAD))
-        shift = len(put) - (end - start)
-        text = self.text = self.text[:start] + put + self.text[end:]
-        # The old cuts from the first doubtful pre-token on, walked along with the new ones.
-        last, j, old = leaf, k, at
+        kept = sum(self.lengths[leaf][:k])
+        # Places from here on count from the first doubtful pre-token; near is the text that has been looked at so far.
+        start, end, last = start - at, end - at, leaf
+        near, shift = self.texts[leaf][kept:], len(put) - (end - start)
+
+        def load(least: int) -> str:
+            """The text of further leaves, ``least`` characters of it if there are as many."""
+            nonlocal last
+            got, n = [], 0
+            while last + 1 < len(self.texts) and n < least:
+                last += 1
+                got.append(self.texts[last])
+                n += len(got[-1])
+            return "".join(got)
+
+        if len(near) < end:
+            near += load(end - len(near))
+        near = near[:start] + put + near[end:]
+        # The old cuts, walked along with the new ones: the place of the next one, and which leaf and place in it come after it.
+        old, x, j = 0, leaf, k
         parts: list[str] = []
-        new, resume = at, start + len(put)
+        new, resume = 0, start + len(put)
         match = self.pre.pattern.match
-
-        def advance() -> None:
-            nonlocal last, j, old
-            while j >= len(self.lengths[last]) and last + 1 < len(self.lengths):
-                last, j = last + 1, 0
-            if j < len(self.lengths[last]):
-                old += self.lengths[last][j]
-                j += 1
-
-        while new < len(text):
-            while old + shift < new and old < self.chars[1]:
-                advance()
+        while True:
+            while old + shift < new or old < end:
+                while j >= len(self.lengths[x]) and x + 1 < len(self.lengths):
+                    x, j = x + 1, 0
+                if j >= len(self.lengths[x]):
+                    break
+                old, j = old + self.lengths[x][j], j + 1
             if new >= resume and old >= end and old + shift == new:
                 break
-            m = match(text, new)
+            if new + LOOK_AHEAD >= len(near):
+                near += load(LOOK_AHEAD + 1)
+            if new >= len(near):
+                break
+            m = match(near, new)
+            while m.end() + LOOK_AHEAD > len(near) and (more := load(len(near))):
+                near += more
+                m = match(near, new)
             parts.append(m.group())
             new = m.end()
-        else:
-            while old < self.chars[1]:
-                advance()
         self.reencoded += len(parts)
-        lengths, counts = list(map(len, parts)), self.pre.counts(parts)
-        if leaf == last:
+        lengths, counts, text = list(map(len, parts)), self.pre.counts(parts), near[:new]
+        gone = sum(self.lengths[x][:j])
+        if leaf == x:
+            self.texts[leaf] = self.texts[leaf][:kept] + text + self.texts[leaf][gone:]
             self.lengths[leaf][k:j], self.counts[leaf][k:j] = lengths, counts
         else:
+            self.texts[leaf], self.texts[x] = self.texts[leaf][:kept] + text, self.texts[x][gone:]
             self.lengths[leaf][k:], self.counts[leaf][k:] = lengths, counts
-            for x in range(leaf + 1, last):
-                self.lengths[x], self.counts[x] = [], []
-                self._update(x)
-            self.lengths[last][:j], self.counts[last][:j] = [], []
-            self._update(last)
-        self._update(leaf)
+            for i in range(leaf + 1, x):
+                self.texts[i], self.lengths[i], self.counts[i] = "", [], []
+                self._update(i)
+            self.lengths[x][:j], self.counts[x][:j] = [], []
+            self._update(x)
+        if len(self.lengths[leaf]) > 4 * LEAF:
+            self._split(leaf)
+        else:
+            self._update(leaf)
+
+    def _split(self, leaf: int) -> None:
+        """A leaf that has grown becomes several."""
+        text, lengths, counts = self.texts[leaf], self.lengths[leaf], self.counts[leaf]
+        ends = np.cumsum([0, *lengths])
+        cuts = range(0, len(lengths), LEAF)
+        self.texts[leaf : leaf + 1] = [text[ends[i] : ends[min(i + LEAF, len(lengths))]] for i in cuts]
+        self.lengths[leaf : leaf + 1] = [lengths[i : i + LEAF] for i in cuts]
+        self.counts[leaf : leaf + 1] = [counts[i : i + LEAF] for i in cuts]
+        self._sum_up()
 
 
 _LONG_NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")
@@ -165,6 +210,27 @@ def mask_long_numbers(text: str) -> list[Edit]:
     return [(m.start(), m.end(), "<number>") for m in _LONG_NUMBER.finditer(text)][::-1]
 
 
+def revise(text: str) -> list[Edit]:
+    """What the registered query does to a text: long numbers masked, a passage inserted, one cut out and one replaced.
+
+    Places and lengths are drawn by a hash of the text, so that every part of a text, its ends too, has its turn.
+    """
+    out = mask_long_numbers(text)
+    if not text:
+        return out
+    from xxhash import xxh64_intdigest
+
+    n = len(text) + sum(len(put) - (end - start) for start, end, put in out)
+    draw = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    for k, put in enumerate((" [added 12 words]\n", "", "it's replaced")):
+        draw = draw * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1
+        start = (draw >> 32) % (n + 1)
+        end = start if k == 0 else min(n, start + draw % 41)
+        out.append((start, end, put))
+        n += len(put) - (end - start)
+    return out
+
+
 SCHEMA = "doc_id bigint, n_pretokens bigint, n_tokens bigint, n_edits bigint, n_tokens_edited bigint, n_reencoded bigint"
 
 

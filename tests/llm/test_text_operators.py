@@ -356,9 +356,14 @@ def test_token_counts(spark, texts):
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     n = lambda t: len(enc.encode_ordinary(t))
     for r in queries.op8_token_counts(spark, "/root/testdata/sf0.001").collect():
-        t = texts[r.doc_id]
-        edited = token_counts._LONG_NUMBER.sub("<number>", t)
-        assert (r.n_tokens, r.n_tokens_edited, r.n_edits) == (n(t), n(edited), len(token_counts._LONG_NUMBER.findall(t)))
+        t = edited = texts[r.doc_id]
+        for start, end, put in token_counts.revise(t):
+            edited = edited[:start] + put + edited[end:]
+        assert (r.n_tokens, r.n_tokens_edited, r.n_edits) == (n(t), n(edited), len(token_counts._LONG_NUMBER.findall(t)) + (3 if t else 0))
+        masked = t
+        for start, end, put in token_counts.mask_long_numbers(t):
+            masked = masked[:start] + put + masked[end:]
+        assert masked == token_counts._LONG_NUMBER.sub("<number>", t)
     pre, rnd = token_counts.PreTokens(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(9)
     letters, some = " \n\tab'slDr1é!<", list(texts.values())
     for k in range(600):
@@ -373,7 +378,39 @@ def test_token_counts(spark, texts):
     tree = token_counts.CountTree("word " * 5000, pre)
     tree.edit(12_000, 12_002, "xy")
     assert tree.reencoded < 8
-    assert len(token_counts.count_tokens(table(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()) == len(ODD) + 3
+    assert len(token_counts.count_tokens(table(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, token_counts.revise).collect()) == len(ODD) + 3
+    assert token_counts.count_tokens(table(spark, ODD).limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_edits_of_long_texts():
+    """Thousands of edits of a long text, long insertions and long runs among them: counts as anew, leaves bounded, time linear."""
+    import time
+
+    import public_tokenizers as P
+
+    pre, rnd = token_counts.PreTokens(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(13)
+    fresh = lambda t: sum(pre.counts(pre.cut(t)))
+    text = "".join(rnd.choice(["word ", "  ", "\n", "it's ", "12345", "é" * 40, " " * 70, "x" * 300]) for _ in range(6000))
+    tree = token_counts.CountTree(text, pre)
+    for k in range(400):
+        a = rnd.randint(0, len(text))
+        b = min(len(text), a + rnd.choice([0, 2, 30, 3000]))
+        put = rnd.choice(["", " ", "ab", "new words " * 150, " " * 50])
+        text = text[:a] + put + text[b:]
+        tree.edit(a, b, put)
+        if k % 20 == 0:
+            assert tree.text == text and tree.total == fresh(text) and max(map(len, tree.lengths)) <= 4 * token_counts.LEAF
+    assert tree.text == text and tree.total == fresh(text)
+
+    def took(n):
+        t = token_counts.CountTree("some words here " * n, pre)
+        began = time.process_time()
+        for i in range(n):
+            t.edit(16 * i, 16 * i + 4, "four")
+        return time.process_time() - began
+
+    took(500)
+    assert took(16_000) < 16 * took(2000)
 
 
 # ---- 10 --------------------------------------------------------------------------------------------------------------
