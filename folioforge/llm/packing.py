@@ -11,8 +11,9 @@ upper 32 bits and a counter below, so a task that runs again gives the same ids.
 Null text counts as empty: the end id alone. Null or repeated doc_ids and further columns don't matter: each row is a
 document of its own. Empty table: empty result.
 
-Token ids come from a public tokenizer file. White space ends a pre-token in it, so words are encoded once each and kept
-in a bounded memo; the ids are those of the whole text.
+Token ids come from a public tokenizer file. Where its normalizer and pre-tokenizer are those written down below, white
+space ends a pre-token, so words are encoded once each and kept in a bounded memo; any other file's tokenizer gets whole
+texts. Either way the ids are those of the whole text.
 """
 
 from __future__ import annotations
@@ -41,6 +42,24 @@ SLACK = 48
 SLICE_BYTES = 4 << 20
 
 
+# The rules for which pre-tokens may be cut here, as a tokenizer file states them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def cuts_known(said: dict) -> bool:
+    """Whether a tokenizer file has these rules, a plain BPE model, and no added token but such as ``<|...``."""
+    model, added = said.get("model") or {}, said.get("added_tokens") or []
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and bool(model.get("end_of_word_suffix"))
+    return said.get("normalizer") == NORMALIZER and said.get("pre_tokenizer") == PRE_TOKENIZER and plain and all(x["content"].startswith("<|") for x in added)
+
+
 class TokenIds:
     """Ids of texts as little-endian uint32 bytes, through a bounded memo of pre-tokens.
 
@@ -63,7 +82,11 @@ class TokenIds:
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.tokenizer, self.most = Tokenizer.from_file(path), memo
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), memo, cuts_known(said)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        if not self.known:
+            return
         self.plain = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": []}))
         suffix, vocab = said["model"].get("end_of_word_suffix") or "", said["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, np.bool_)
@@ -113,6 +136,8 @@ class TokenIds:
         return b"".join(map(self.words.__getitem__, words))
 
     def of(self, texts: list[str]) -> list[bytes]:
+        if not self.known:
+            return self._whole(texts)
         each = [self._parts(x) for x in texts]
         parts = set().union(*(x for x in each if x))
         new = parts.difference(self.memo)

@@ -287,6 +287,28 @@ def test_packing_edges(spark):
     assert sum(r.length for r in rows if r.start == 0 and r.doc_tokens == 1) == 6 and packing.pack(df.limit(0), path).count() == 0
 
 
+def test_packing_with_other_tokenizers(spark, tmp_path):
+    """A file with other rules gives its own ids, never those of the rules that are cut here."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(said | {"normalizer": None}), encoding="utf-8")
+    assert packing.cuts_known(said)
+    df = spark.createDataFrame([(0, "Hello World, it's 2024.\n\nÉtude  x"), (1, None), (2, "")], "doc_id long, text string")
+    for file in (queries.tokenizer_file("byte_bpe_50k.json"), str(cased)):
+        tok = Tokenizer.from_file(file)
+        want = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in df.collect()}
+        got = {}
+        for r in packing.pack(df, file).orderBy("doc_id", "start").collect():
+            got.setdefault(r.doc_id, []).extend(r.ids)
+        assert got == want and want[0] != [*Tokenizer.from_file(path).encode("Hello World, it's 2024.\n\nÉtude  x", add_special_tokens=False).ids, 1]
+
+
 def test_best_fit_against_scan():
     rnd = random.Random(7)
     for _ in range(200):
