@@ -33,6 +33,9 @@ BOILERPLATE = (
     "we use cookies", "accept cookies", "enable javascript", "javascript is disabled", "lorem ipsum", "click here",
     "read more", "sign up", "sign in", "log in", "subscribe to", "share on", "follow us", "skip to content",
     "back to top", "add to cart", "page not found", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "hier klicken", "weiterlesen", "jetzt anmelden", "zum inhalt springen", "nach oben",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos y condiciones", "aviso legal", "haga clic aquí", "haz clic aquí", "leer más", "iniciar sesión",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions d'utilisation", "cliquez ici", "lire la suite", "en savoir plus", "se connecter", "haut de page",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
 _SEPARATOR = re.compile(r"(?:^|(?<=\s))(?:[|»«›‹•·→]|>{1,2}|/)(?=\s|$)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontamination, language_id, licenses, line_quality, packing, quality_model, secrets, simhash_dedup, surrogates, token_counts
 from .common import table
@@ -17,7 +18,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality.line_quality(table(spark, sf_dir, "documents"), cleaned=False)
+    """Counts, verdict and a digest of the cleaned text."""
+    judged = line_quality.line_quality(table(spark, sf_dir, "documents"))
+    return judged.withColumn("cleaned_md5", F.md5(F.col("cleaned").cast("binary"))).drop("cleaned")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

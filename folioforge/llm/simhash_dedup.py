@@ -10,6 +10,9 @@
    classes is returned: at most one link for each fingerprint and place, never all pairs.
 5. Links are contracted to components over distinct fingerprints, by rounds of aggregation and joins, each cut by a checkpoint.
 
+That is the operator at a radius of four bits, which is far stricter than a similarity of 0.8 (some 10 bits apart). To
+remove near-duplicates at a similarity, ``deduplicate`` uses the same index at a wider radius: ``near_copies`` says how.
+
 Null text and text without a word: fingerprint zero, linked as any other. Null doc_id: it has a fingerprint and a
 component but gives no component its name; a component of nothing but null doc_ids has a null component_id. Repeated rows
 are linked as copies; deduplicate() keeps one of them. Further columns, clashing names too, stay as they are.
@@ -17,7 +20,7 @@ are linked as copies; deduplicate() keeps one of them. Further columns, clashing
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -134,7 +137,8 @@ class Classes:
 class GrayIndex:
     """Distinct fingerprints in Gray order under nodes of FAN_OUT children; a node knows the bits that all below it share."""
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, radius: int = RADIUS):
+        self.radius = radius
         self.order = np.argsort(gray_rank(prints), kind="stable")
         leaf = prints[self.order]
         ones = ~np.uint64(0)
@@ -148,8 +152,11 @@ class GrayIndex:
             self.pattern.append(every & shared)
             self.mask.append(shared)
 
-    def join(self, classes: Classes, apart: np.ndarray | None = None) -> None:
-        """Unite all that are within the radius. apart: of each fingerprint, a chunk; only pairs of different chunks count."""
+    def join(self, classes: Classes, apart: np.ndarray | None = None, unite: Callable[[np.ndarray, np.ndarray], None] | None = None) -> None:
+        """Unite all that are within the radius. apart: of each fingerprint, a chunk; only pairs of different chunks count.
+
+        unite: gets the pairs within the radius instead, as places, and unites those that it verifies.
+        """
         side = None if apart is None else apart[self.order]
         step = np.arange(FAN_OUT)
         left, right = np.repeat(step, FAN_OUT), np.tile(step, FAN_OUT)
@@ -170,7 +177,7 @@ class GrayIndex:
             fit = (ca < n) & (cb < n) & ((ca < cb) if level == 1 else (ca <= cb))
             ca, cb = ca[fit], cb[fit]
             p, m = self.pattern[level - 1], self.mask[level - 1]
-            near = np.bitwise_count((p[ca] ^ p[cb]) & m[ca] & m[cb]) <= RADIUS
+            near = np.bitwise_count((p[ca] ^ p[cb]) & m[ca] & m[cb]) <= self.radius
             ca, cb = ca[near], cb[near]
             if level > 1:
                 if len(ca):
@@ -179,7 +186,7 @@ class GrayIndex:
             if side is not None:
                 other = side[ca] != side[cb]
                 ca, cb = ca[other], cb[other]
-            classes.join(self.order[ca], self.order[cb])
+            (unite or classes.join)(self.order[ca], self.order[cb])
 
     def _labels(self, classes: Classes, level: int) -> tuple[np.ndarray, np.ndarray]:
         """The least and the greatest label below each node of a level."""
@@ -309,25 +316,23 @@ def _marks(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
     return docs.withColumns({n: F.xxhash64(F.lit(i), *whole) for i, n in enumerate(names)})
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row, all columns, of each component: the least doc_id (null last); of equal doc_ids the least hash of the row.
+def unrepeated(marked: DataFrame, rows: DataFrame, names: tuple[str, str], ways: int = 64) -> DataFrame:
+    """marked with one row for each pair of marks. rows: the marks of all its rows, cut.
 
-    The texts are shuffled once, by the hash of their row, to meet the rows that stay; hashes spread evenly.
+    Only rows that repeat are brought together, and first in many parts: however often one repeats, every task keeps one
+    of it, ``ways`` parts gather from some tasks each, and the last step gathers from the parts.
     """
-    names = ("__simhash_mark0", "__simhash_mark1")
+    again = cut(rows.groupBy(*names).count().filter("count > 1").select(*names))
+    if again.isEmpty():
+        return marked
+    again, whole = small(again), F.struct(*(F.col(f"`{c}`") for c in marked.columns))
+    met = marked.join(again, list(names), "left_semi").select(*names, F.pmod(F.spark_partition_id(), F.lit(ways)).alias("__way"), whole.alias("__row"))
+    one = met.groupBy(*names, "__way").agg(F.first("__row").alias("__row")).groupBy(*names).agg(F.first("__row").alias("__row"))
+    return marked.join(again, list(names), "left_anti").select(*(F.col(f"`{c}`") for c in marked.columns)).unionByName(cut(one.select("__row.*")))
 
-    def make():
-        def work(part: pa.RecordBatch) -> list:
-            return [*(part.column(c) for c in ("doc_id", *names)), pa.array(fingerprints(whole_texts(part.column("text"))).view(np.int64))]
 
-        return work
+def deduplicate(docs: DataFrame, **more) -> DataFrame:
+    """One row, all columns, of each group of near-duplicates at a Jaccard similarity of 0.8: see ``near_copies``."""
+    from . import near_copies
 
-    marked = _marks(docs, names)
-    rows = cut(map_texts(marked, f"doc_id bigint, {names[0]} bigint, {names[1]} bigint, fp bigint", make, ("doc_id", *names, "text")))
-    prints = cut(rows.select("fp").distinct())
-    roots = components(links(prints))
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    # The first of a component: partial minima, so a component of any size is no one task's burden.
-    first = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names)).alias("m"))
-    keep = cut(first.select(*(F.col(f"m.{n}").alias(n) for n in names)))
-    return marked.join(keep, list(names), "left_semi").dropDuplicates(list(names)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return near_copies.deduplicate(docs, **more)
