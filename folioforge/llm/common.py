@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "folder" not in _OWN:
         _OWN["folder"] = tempfile.mkdtemp(prefix="folioforge-")
         atexit.register(shutil.rmtree, _OWN["folder"], ignore_errors=True)
