@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 ARXIV_ID = r"(\d{4}\.\d{4,5})(?:v\d+)?"
 ARXIV_ID_WHOLE = r"^\d{4}\.\d{4,5}(?:v\d+)?$"
 DOI = r"10\.\d{4,}/[^\s]+"
-GITHUB = r"https?://(?:www\.)?github\.com/[A-Za-z0-9_.\-]+/[A-Za-z0-9_.\-]+"
 
 
 def _lit(x) -> Column:
@@ -68,16 +67,26 @@ def exact_match(a: Column, b: Column) -> Column:
     return normalized_title(a) == normalized_title(b)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: within a higher-order function a plain column is computed again at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trigrams(x: Column) -> Column:
     """Distinct 3-character pieces of the title's lower-case ASCII letters, digits and blanks."""
-    plain = F.regexp_replace(F.lower(F.trim(x)), r"[^a-z0-9\s]", "")
-    return F.when(F.length(plain) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 2, F.lit(1))), lambda i: F.substr(plain, i, F.lit(3)))))
+    pieces = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substr(p, i, F.lit(3))))
+    return let(F.regexp_replace(F.lower(F.trim(x)), r"[^a-z0-9\s]", ""), lambda p: F.when(F.length(p) < 3, F.array().cast("array<string>")).otherwise(pieces(p)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both.cast("double") / (F.size(a) + F.size(b) - both))
+
+    def of(s: Column) -> Column:
+        sizes = F.size(s["a"]) + F.size(s["b"])
+        share = lambda both: both.cast("double") / (sizes - both)
+        return F.when((F.size(s["a"]) == 0) | (F.size(s["b"]) == 0), 0.0).otherwise(let(F.size(F.array_intersect(s["a"], s["b"])), share))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def year_of(date: Column) -> Column:
@@ -158,27 +167,34 @@ def repo_overlap(title: Column, described: Column) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: F.lower(described).contains(w))) / F.size(words))
 
 
-# Upper-case terms that count as keywords beside capitalised words.
-ACRONYMS = ("PDE", "ODE", "CNN", "RNN", "GNN", "LSTM", "GAN", "VAE", "PINN", "FNO", "GPU", "CPU", "LLM", "NLP")
+# The shapes of keywords, capitalised words (also joined ones) and technical terms.
+CAPITALISED = r"[A-Z][a-z]+(?:[-/][A-Z][a-z]+)*"
+TERMS = r"\b(?:PDE|FNO|DeepONet|PINN|GAN|Transformer|CNN|RNN|MLP|ViT|INR|SOTA)\b"
 
 
 def keywords(text: Column, most: int = 15) -> Column:
-    """Capitalised words and acronyms of three letters or more, distinct, longest first, then by text."""
-    words = F.regexp_extract_all(text, F.lit(rf"\b(?:{'|'.join(ACRONYMS)}|[A-Z][a-z]{{2,}})\b"), F.lit(0))
+    """The first ``most`` distinct words of three letters or more of either shape, capitalised ones first; longest first, then by text."""
+    words = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (CAPITALISED, TERMS)))
     by = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    return F.slice(F.array_sort(F.array_distinct(words), by), 1, most)
+    return F.array_sort(F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)), 1, most), by)
+
+
+# The address of a repository, with or without a scheme; its path ends before a mark.
+REPOSITORY = r"""(?i)(?:https?://)?(?:www\.)?github\.com/([A-Za-z0-9._\-]+/[A-Za-z0-9._/\-]+?)(?:[\s."'<>),]|$)"""
 
 
 def github_url(html: Column) -> Column:
-    """The repository that a page links: by a badge, then by any address, then by a class~code link, then in a code-links block; '' if none."""
-    tries = (
-        rf'href="({GITHUB})"[^>]*>\s*<img',
-        rf"({GITHUB})",
-        r'class="[^"]*code[^"]*"[^>]*href="(https?://[^"]+)"',
-        r'(?s)class="code-links?".*?href="(https?://[^"]+)"',
-    )
-    found = F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in tries), F.lit(""))
-    return F.regexp_replace(found, r"\.git$", "")
+    """The repository that a page links; '' if none. Case of tags doesn't matter.
+
+    Tried in turn: a link to the host whose text is Code, any address of a repository (in a block of code links or elsewhere), a
+    link of a class with code in its name whose address has github in it. A trailing slash and ``.git`` go.
+    """
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, "/+$", ""), r"\.git$", "")
+    get = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
+    labelled = get(r'(?i)<a[^>]*href="(https?://github\.com/[^"]+)"[^>]*>\s*Code\s*</a>')
+    classed = get(r'(?i)<a[^>]*class="[^"]*code[^"]*"[^>]*href="([^"]+)"')
+    anywhere = F.concat(F.lit("https://github.com/"), bare(get(REPOSITORY)))
+    return F.coalesce(bare(labelled), anywhere, F.when(F.lower(classed).contains("github"), F.regexp_replace(classed, "/+$", "")), F.lit(""))
 
 
 def hosted_code_url(text: Column) -> Column:
@@ -289,8 +305,9 @@ def snowflake_sequence(sf_id: Column) -> Column:
 # ---- citations in prose ----------------------------------------------------------------------------------------------
 
 # The two shapes of a citation by title.
-TITLE_FIRST = r'"([^"]{5,300})"\s*\(([^()]*?),\s*(\d{4})\)'
-AUTHOR_FIRST = r'([A-Z][A-Za-z\-]+(?:\s+et\s+al\.?)?)\s*\((\d{4})\)\s*"([^"]{5,300})"'
+_WHO = r"[A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-z]+))?"
+TITLE_FIRST = rf'"([^"]+)"\s*\(({_WHO})\s*,?\s*(\d{{4}})\)'
+AUTHOR_FIRST = rf'({_WHO})\s*\((\d{{4}})\)\s*["\u201c]([^"\u201d]+)["\u201d]'
 
 
 def citations(text: Column) -> Column:
@@ -305,7 +322,7 @@ def citations(text: Column) -> Column:
     def shaped(pattern: str, author: int, year: int, title: int) -> Column:
         return F.transform(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-            lambda m: made("author-year-title", none, F.trim(F.regexp_extract(m, pattern, author)), F.regexp_extract(m, pattern, year).cast("int"), F.regexp_extract(m, pattern, title)),
+            lambda m: made("author-year-title", none, F.trim(F.regexp_extract(m, pattern, author)), F.regexp_extract(m, pattern, year).cast("int"), F.trim(F.regexp_extract(m, pattern, title))),
         )
 
     return F.concat(ids, shaped(TITLE_FIRST, 2, 3, 1), shaped(AUTHOR_FIRST, 1, 2, 3))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.similarity import citation_scores, title_ratio
+from ..shared import small
 
 
 def import_stats(meta: DataFrame) -> DataFrame:
@@ -89,25 +90,29 @@ def phrase_candidates(citations: DataFrame, index: DataFrame, columns: Sequence[
     """cite_id, doc_id of index rows in which a citation's whole title stands as a phrase, in any of the columns.
 
     A blocked join: index rows meet a citation only on a window of three tokens of its title (all of it, if shorter), the
-    rarest of its windows; the phrase is then verified. An index row's windows leave it only if some citation has them.
+    rarest of its windows; the phrase is then verified. Of an index row only its id and the hashes of its windows take part, and
+    they leave it only if some citation has them; bodies are fetched for the few rows that meet a citation.
     """
     want = citations.select("cite_id", title_tokens(F.col("title")).alias("t")).filter("size(t) > 0").withColumn("n", F.least(F.size("t"), F.lit(3)))
-    keys = want.select("cite_id", F.concat(F.lit(" "), F.concat_ws(" ", "t"), F.lit(" ")).alias("phrase"), F.explode(_windows(F.col("t"), F.col("n"))).alias("key"))
-    have = index.select("doc_id", F.concat(F.lit(" "), F.concat_ws(" | ", *(F.concat_ws(" ", title_tokens(F.col(c))) for c in columns)), F.lit(" ")).alias("body"))
-    split = have.withColumn("t", F.split(F.trim("body"), " +"))
+    windows = F.when(F.col("n") == 1, _windows(F.col("t"), 1)).when(F.col("n") == 2, _windows(F.col("t"), 2)).otherwise(_windows(F.col("t"), 3))
+    keys = want.select("cite_id", F.concat(F.lit(" "), F.concat_ws(" ", "t"), F.lit(" ")).alias("phrase"), F.explode(windows).alias("key"))
     sizes = sorted(r[0] for r in want.select("n").distinct().collect())  # 1, 2 and 3 at most
     if not sizes:
         return citations.sparkSession.createDataFrame([], "cite_id bigint, doc_id bigint")
-    bodies = split.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*(_windows(F.col("t"), F.lit(n)) for n in sizes)))).alias("key"))
-    seen = bodies.join(keys.select("key").distinct(), "key", "left_semi")
+    of = lambda c: tx.let(title_tokens(F.col(c)), lambda t: F.concat(*(_windows(t, n) for n in sizes)))
+    held = index.select("doc_id", F.explode(F.array_distinct(F.concat(*map(of, columns)))).alias("key"))
+    seen = held.join(small(keys.select("key").distinct()), "key", "left_semi")
     weight = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rare = keys.join(weight, "key", "left").groupBy("cite_id", "phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("m")).select("cite_id", "phrase", F.col("m.key").alias("key"))
-    return seen.join(rare, "key").filter(F.col("body").contains(F.col("phrase"))).select("cite_id", "doc_id")
+    met = seen.join(rare, "key").select("cite_id", "phrase", "doc_id").distinct()
+    body = F.concat(F.lit(" "), F.concat_ws(" | ", *(F.concat_ws(" ", title_tokens(F.col(c))) for c in columns)), F.lit(" "))
+    return index.select("doc_id", *columns).join(met, "doc_id").filter(body.contains(F.col("phrase"))).select("cite_id", "doc_id")
 
 
-def _windows(t: Column, n: Column) -> Column:
-    """The windows of n tokens of a column of tokens."""
-    return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(t, i, n)))).otherwise(F.array().cast("array<string>"))
+def _windows(t: Column, n: int) -> Column:
+    """Hashes of the windows of n tokens. t: a column or variable that is computed once."""
+    hashed = lambda w, i: F.xxhash64(F.lit(n), w, *(F.get(t, i + k) for k in range(1, n)))
+    return F.slice(F.transform(t, hashed), F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
 
 
 def check_citations(citations: DataFrame, index: DataFrame, top: int = 3) -> DataFrame:
@@ -157,3 +162,35 @@ def render_report(totals: dict[str, int], title: str = "Citation audit") -> str:
     """Text of a report over a few collected totals."""
     n = sum(totals.values())
     return "\n".join([title, "=" * len(title), f"citations: {n}", *(f"{s:<10} {totals[s]:>8}  {100 * totals[s] / n if n else 0:5.1f} %" for s in STATUS_ORDER if s in totals)])
+
+
+def _source_lines(sources: Sequence[Mapping]) -> list[str]:
+    out = []
+    for s in sources:
+        out.append(f"  [{'legacy' if s['source'] == 'unknown' else s['source']}] {s['n']:,} papers")
+        out += [f"    {label}: {s[key]}" for label, key in (("first import", "first_import"), ("last import", "last_import")) if s.get(key)]
+    return out
+
+
+def _state_lines(states: Sequence[Mapping]) -> list[str]:
+    return [f"  {s['source']}: {s['status']}, {s.get('total_new') or 0:,} papers" + (f", error: {s['error']}" if s.get("error") else "") for s in states] or ["  no state files"]
+
+
+def _jsonl_line(jsonl: Mapping | None) -> str:
+    return f"JSON lines: {jsonl['lines']:,} lines, {jsonl['size_mb']} MB" if jsonl and jsonl.get("exists") else "JSON lines: none"
+
+
+def render_sources(total: int, sources: Sequence[Mapping], states: Sequence[Mapping] = (), jsonl: Mapping | None = None, time: str = "") -> str:
+    """Text of the report on data sources, over collected rows of import_stats, state files and jsonl_info."""
+    return "\n".join(["Data source audit", f"time: {time}", f"total: {total:,} papers", "sources:", *_source_lines(sources), "state files:", *_state_lines(states), _jsonl_line(jsonl)])
+
+
+def render_store(row: Mapping, types: Sequence[Mapping] = ()) -> str:
+    """Text on the quality of the store, over the row of store_audit (and has_code) and counts by identifier type."""
+    lines = [f"papers: {row['total']:,}", f"verified: {row['verified']:,} ({100 * row['verified_ratio']:.1f} %)", f"with code: {row.get('has_code') or 0:,}", f"both identifiers: {row['dual']:,} ({100 * row['dual_ratio']:.1f} %)"]
+    return "\n".join(["Paper store", *(f"  {x}" for x in lines), "  identifiers:", *(f"    {t['id_type']}: {t['n']:,}" for t in types)])
+
+
+def render_full(total: int, sources: Sequence[Mapping], store: Mapping, types: Sequence[Mapping] = (), states: Sequence[Mapping] = (), jsonl: Mapping | None = None, time: str = "") -> str:
+    """Both reports in one."""
+    return render_sources(total, sources, states, jsonl, time) + "\n\n" + render_store(store, types)

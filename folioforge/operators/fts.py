@@ -1,7 +1,7 @@
 """Full-text search: an inverted index as a DataFrame, a small query language, BM25.
 
-The index has a row for each term, document and column. A query reads only the rows of its terms (the files are clustered
-by a hash of the term, so others are pruned), reduces them to one row a document and ranks those.
+The index has a row for each term, document and column. A query reads only the rows of its terms (the files are sorted
+by term, so others are pruned), reduces them to one row a document and ranks those.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from ..functions.text import has_category, in_years
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
-#: Directories of a saved index.
-TERM_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -149,16 +147,16 @@ class Index:
         lengths = split.select("doc", reduce(lambda a, c: a + F.size(c), columns, F.lit(0)).alias("length"))
         each = split.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in columns))).alias("f"))
         placed = each.select("doc", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term"))
-        if stemmed:  # the UDF sees each term of the vocabulary once, not each of its occurrences
-            vocabulary = placed.select("term").distinct().withColumn("stem", stems("term"))
-            placed = placed.join(vocabulary, "term").select("doc", "field", "place", F.col("stem").alias("term"))
         postings = placed.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+        if stemmed:  # of postings, not of occurrences, and without a join, on which a frequent term would be a hot key
+            same = postings.withColumn("term", stems("term")).groupBy("term", "doc", "field")
+            postings = same.agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         return cls(postings, lengths, columns, stemmed)
 
     def save(self, path: str) -> None:
-        """Postings clustered by a hash of the term and sorted by it, so that a query reads its terms' row groups only."""
-        bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
+        """Postings in ranges of (term, doc), as many as the shuffle makes of their size; a term of any frequency spans as many
+        files as it needs. A query reads the row groups whose range of terms holds its own."""
+        self.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
 
     @classmethod
@@ -169,12 +167,7 @@ class Index:
         words = sorted({t for a in atoms if not a.prefix for t in a.terms})
         starts = sorted({a.terms[-1] for a in atoms if a.prefix})
         wanted = reduce(lambda c, p: c | F.col("term").startswith(p), starts, F.col("term").isin(words) if words else F.lit(False))
-        rows = self.postings
-        if not starts and "bucket" in rows.columns:
-            import zlib
-
-            rows = rows.filter(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % TERM_BUCKETS for w in words})))
-        return rows.filter(wanted)
+        return self.postings.filter(wanted)
 
     def hits(self, tree: Node) -> tuple[DataFrame, list[Atom]]:
         """doc and a frequency f0, f1, ... of each atom, for documents with any; then those that the tree admits."""
@@ -215,22 +208,20 @@ class Index:
         """doc and score (BM25, higher is better) of the documents that match."""
         tree = parse(query, self.columns, self.stemmed)
         hits, atoms = self.hits(tree)
-        # One row: how many documents hold each atom, how many there are, and their mean length.
-        held = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(atoms))))
-        sizes = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-        n, size = held.first(), sizes.first()
-        docs, mean = size["docs"], float(size["mean"] or 1.0)
-        import math
-
+        # One row: how many documents hold each atom, how many there are, and their mean length. Part of the same plan, which
+        # computes the hits' exchange once; nothing runs before the result is asked for.
+        held = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(atoms))))
+        sizes = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
         positive = _positive(tree)
 
         def part(i: int) -> Column:
-            idf = max(math.log((docs - n[i] + 0.5) / (n[i] + 0.5)), IDF_FLOOR)
+            idf = F.greatest(F.log((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(IDF_FLOOR))
             f = F.col(f"f{i}").cast("double")
-            return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+            return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
         score = reduce(lambda a, b: a + b, (part(i) for i, a in enumerate(atoms) if a in positive))
-        return hits.filter(self.admits(tree, atoms)).join(self.lengths, "doc").select("doc", score.alias("score"))
+        fit = hits.filter(self.admits(tree, atoms)).join(self.lengths, "doc")
+        return fit.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(sizes)).select("doc", score.alias("score"))
 
 
 def _positive(tree: Node) -> set[Atom]:

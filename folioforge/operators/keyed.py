@@ -26,8 +26,12 @@ def keep_first(df: DataFrame, key: str = "arxiv_id", order: str = "ordinal") ->
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str = "ordinal") -> DataFrame:
     """old and the first of each new key that old lacks."""
-    fresh = first_by(new.join(old.select(*keys).distinct(), list(keys), "left_anti"), keys, [order])
-    return old.unionByName(fresh.select(*old.columns))
+    return old.unionByName(new_rows(old, new, keys, order))
+
+
+def new_rows(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str = "ordinal") -> DataFrame:
+    """The first of each new key that old lacks, with old's columns."""
+    return first_by(new.join(old.select(*keys).distinct(), list(keys), "left_anti"), keys, [order]).select(*old.columns)
 
 
 def upsert(old: DataFrame, changes: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:

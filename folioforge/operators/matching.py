@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import cut
 
 #: Vectors of a query set that are compared at once; a larger set is taken block by block.
 BLOCK = 16_384
+#: Rows that a block is compared with at once: a matrix of BLOCK x TILE similarities.
+TILE = 256
 #: Concepts (a small dimension) that a classification admits.
 MOST_CONCEPTS = 10_000
 
@@ -31,7 +34,7 @@ def trigram_pairs(classes: DataFrame, least: float) -> DataFrame:
     """a, b, sim of distinct titles whose trigrams have a Jaccard similarity of ``least`` or more; a < b. Exact.
 
     Prefix filter: of trigrams in order of frequency, two titles that similar share k among the first
-    size - ceil(least * size) + k of either. There are at most some 50,000 trigrams of letters, digits and blanks,
+    size - ceil(least * size) + k of either. Letters, digits and six kinds of blanks make 42 ** 3 = 74,088 trigrams at most,
     so their frequencies are a small table.
     """
     if least <= 0:
@@ -96,8 +99,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             best: tuple = (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64))
             for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
+                for lo in range(0, batch.num_rows, TILE):
+                    part = batch.slice(lo, TILE)
                     y, some = _unit(part.column(1))
                     if not len(some) or y.shape[1] != x.shape[1]:
                         continue
@@ -106,13 +109,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
                     sims[ids[:, None] == own[None, :]] = -2.0
                     s = np.hstack((best[0], sims))
                     o = np.hstack((best[1], np.broadcast_to(own, sims.shape)))
+                    if s.shape[1] > 4 * k:  # those that may be among the k best, all ties of the last one included
+                        least = np.partition(s, -k, axis=1)[:, -k]
+                        some = max(k, int((s >= least[:, None]).sum(axis=1).max()))
+                        near = np.argpartition(-s, min(some, s.shape[1]) - 1, axis=1)[:, :some]
+                        s, o = np.take_along_axis(s, near, 1), np.take_along_axis(o, near, 1)
                     order = np.lexsort((o, -s), axis=1)[:, :k]
                     best = np.take_along_axis(s, order, 1), np.take_along_axis(o, order, 1)
             keep = best[0] >= -1.5
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query_id", "neighbour_id", "sim"])
 
         part = vectors.select(key, vector).mapInArrow(run, "query_id bigint, neighbour_id bigint, sim double")
-        out = part if out is None else out.unionAll(part)
+        # Of several blocks, each one's partial result is written before the next block is read, so the driver holds one.
+        out = part if out is None else cut(out).unionAll(cut(part))
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, sim double, rank int")
     # At most k rows a query and partition meet here.

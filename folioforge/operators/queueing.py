@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schemas import DOWNLOAD_STATUSES
 
+#: Sources that a plan admits.
+MOST_SOURCES = 10_000
+
 
 def in_tier(tier: str) -> Column:
     """P0: relevance 60 or more; P1: 30 to 59; P2: whatever is pending, P0 and P1 included."""
@@ -67,10 +70,23 @@ def task_order(tasks: DataFrame) -> DataFrame:
     return tasks.orderBy("priority", "query", "category", "limit", "retries")
 
 
+def available(sources: DataFrame) -> DataFrame:
+    """Enabled sources in order of priority (least number first), then by name."""
+    return sources.filter("enabled").orderBy("priority", "source")
+
+
 def plan_tasks(queries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every enabled source for every configured query: two small dimensions, joined on a constant key."""
-    enabled = sources.filter("enabled").withColumn("__k", F.lit(1))
-    return queries.withColumn("__k", F.lit(1)).join(enabled, "__k").drop("__k")
+    """Every enabled source for every configured query: a product of two small dimensions, the sources' size checked."""
+    enabled = sources.filter("enabled")
+    if enabled.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources are no small dimension")
+    return queries.crossJoin(F.broadcast(enabled))
+
+
+def requeued(tasks: DataFrame, failed: DataFrame, most: int = 3, base: float = 1.0, longest: float = 60.0) -> DataFrame:
+    """tasks (id, retries) that failed (id), again with one more retry and the seconds to wait; beyond ``most`` retries they go."""
+    again = tasks.join(failed.select("id").distinct(), "id", "left_semi").withColumn("retries", F.col("retries") + 1).filter(F.col("retries") <= most)
+    return again.withColumn("wait", tx.backoff(F.col("retries"), base, longest))
 
 
 def downloads_sane(files: DataFrame, least: int = 5000) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import ID_TYPES, UPDATABLE
+from ..shared import cut
 from .keyed import insert_ignore, upsert
 
 
@@ -20,13 +21,23 @@ def upsert_papers(papers: DataFrame, records: DataFrame) -> DataFrame:
 def with_ids(records: DataFrame, now_ms: int, worker: int, order: str = "ordinal") -> DataFrame:
     """A snowflake id for each record with sf_id 0: 59 to a millisecond, by rank within the order.
 
-    Ranks come from a distributed sort (zipWithIndex over sorted partitions), so no task holds all records.
+    A distributed sort gives every record its partition and place in it; ranks follow from the partitions' sizes, one row each.
+    The sorted records are written first, so both readings see the same partitions.
     """
-    new = records.filter("sf_id = 0").drop("sf_id").sort(order)
+    place = (1 << 33) - 1  # what monotonically_increasing_id counts within a partition
+    new = cut(records.filter("sf_id = 0").drop("sf_id").sort(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = new.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r["__part"], before))
+        before += r["n"]
+    offsets = F.broadcast(records.sparkSession.createDataFrame(starts, "__part bigint, __before bigint"))
+    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit(place))
     room = (1 << tx.SEQUENCE_BITS) - tx.FIRST_SEQUENCE
-    numbered = new.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])).toDF(new.schema.add("__rank", "long"))
     made = tx.snowflake(F.lit(now_ms) + F.floor(F.col("__rank") / room), F.lit(worker), tx.FIRST_SEQUENCE + F.pmod(F.col("__rank"), F.lit(room)))
-    return records.filter("sf_id <> 0").unionByName(numbered.withColumn("sf_id", made).drop("__rank").select(*records.columns))
+    numbered = new.withColumn("__part", part).join(offsets, "__part").withColumn("__rank", rank)
+    return records.filter("sf_id <> 0").unionByName(numbered.withColumn("sf_id", made).select(*records.columns))
 
 
 def update_papers(papers: DataFrame, changes: DataFrame) -> DataFrame:
@@ -156,9 +167,26 @@ def set_status(state: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select(*(F.coalesce(f"__{x}", x).alias(x) if x in ("status", "error") else F.coalesce(x, F.lit(zero[x])).alias(x) if x in zero else F.col(x) for x in state.columns))
 
 
+def library_entries(payload: DataFrame) -> DataFrame:
+    """payload: rows with the JSON text of {"papers": {id: {...}}}. ordinal, arxiv_id and the JSON of each entry."""
+    return payload.select(F.posexplode(F.map_entries(F.from_json(F.get_json_object("json", "$.papers"), "map<string,string>"))).alias("ordinal", "e")).select("ordinal", F.col("e.key").alias("arxiv_id"), F.col("e.value").alias("paper"))
+
+
 def list_library(payload: DataFrame, newest: int = 20, category: str = "") -> DataFrame:
-    """payload: a row with the JSON text of {"papers": {id: {...}}}. The last ``newest`` entries, last first."""
-    each = payload.select(F.posexplode(F.map_entries(F.from_json(F.get_json_object("json", "$.papers"), "map<string,string>"))).alias("ordinal", "e")).select("ordinal", F.col("e.key").alias("arxiv_id"), F.col("e.value").alias("paper"))
+    """The last ``newest`` entries, last first; of a category, those whose categories contain it in any case."""
+    each = library_entries(payload)
     if category:
         each = each.filter(F.lower(F.get_json_object("paper", "$.categories")).contains(category.lower()))
     return each.orderBy(F.desc("ordinal")).limit(newest)
+
+
+def library_info(payload: DataFrame, arxiv_id: str) -> DataFrame:
+    """The entry of one paper, or no row."""
+    return library_entries(payload).filter(F.col("arxiv_id") == arxiv_id).select("arxiv_id", "paper")
+
+
+def system_stats(payload: DataFrame, pdf: DataFrame, md: DataFrame) -> DataFrame:
+    """One row: entries of the library, files of either kind (stems), and the library's date of crawling."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    date = payload.agg(F.coalesce(F.max(F.get_json_object("json", "$.crawl_date")), F.lit("")).alias("crawl_date"))
+    return n(library_entries(payload), "total_papers").crossJoin(n(pdf, "pdf_files")).crossJoin(n(md, "md_files")).crossJoin(date)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import audit, dedup, fts, matching, queueing, store
+from ..shared import folder
 from ..sources import readers
+from ..streaming import jobs
 from . import bindings as b
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,13 +215,26 @@ def citation_phrase_candidates(spark, d):
     return audit.phrase_candidates(bench, b.papers(spark, d).select(F.col("sf_id").alias("doc_id"), "title", "abstract"))
 
 
-@query(b.sql("""select conv_id, turn, 'arxiv' as type, id, '' as authors, 0 as year from (select conv_id, turn, unnest(list_distinct(regexp_extract_all(text || ' arXiv:' || lpad(cast(conv_id % 10000 as varchar), 4, '0') || '.' || lpad(cast(turn as varchar), 5, '0') || 'v2', '(\\d{4}\\.\\d{4,5})(?:v\\d+)?', 1))) as id from conversations)
- union all select conv_id, turn, 'author-year-title', '', 'Author et al.', 2019 from conversations""".replace("\\\\", "\\")))
+_CITED = """cited as (select conv_id, turn, text || ' arXiv:' || lpad(cast(conv_id % 10000 as varchar), 4, '0') || '.' || lpad(cast(turn as varchar), 5, '0') || 'v2 '
+ || case (conv_id + turn) % 5 when 0 then '"A title of some length" (Author et al., ' || cast(1990 + conv_id % 30 as varchar) || ')' when 1 then 'Smith & Jones (' || cast(1990 + turn % 30 as varchar) || ') "Its title"'
+ when 2 then 'Müller (2019) "no, the name has an umlaut"' when 3 then 'Lee et al. (' || cast(2000 + conv_id % 20 as varchar) || ') ' || chr(8220) || 'curly quotes' || chr(8221) else '"nothing, as the year is short" (Author, 19)' end as t from conversations)"""
+_WHO = r"[A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-z]+))?"
+_SHAPES = ((rf'"([^"]+)"\s*\(({_WHO})\s*,?\s*(\d{{4}})\)', 2, 3, 1), (rf'({_WHO})\s*\((\d{{4}})\)\s*["“]([^"”]+)["”]', 1, 2, 3))
+_PARSED = " union all ".join(f"select conv_id, turn, 'author-year-title' as type, '' as id, trim(regexp_extract(m, '{p}', {a})) as authors, cast(regexp_extract(m, '{p}', {y}) as integer) as year, trim(regexp_extract(m, '{p}', {t})) as title from (select conv_id, turn, unnest(regexp_extract_all(t, '{p}')) as m from cited)" for p, a, y, t in _SHAPES)
+
+
+@query(b.sql(r"select conv_id, turn, 'arxiv' as type, id, '' as authors, 0 as year, '' as title from (select conv_id, turn, unnest(list_distinct(regexp_extract_all(t, '(\d{4}\.\d{4,5})(?:v\d+)?', 1))) as id from cited) union all " + _PARSED, _CITED))
 def citation_extract(spark, d):
-    """Citations in every turn, each with two of them appended."""
+    """Citations in every turn, each with an identifier and one of five shapes appended, two of which are none."""
     c = b.read(spark, d, "conversations")
-    text = F.concat("text", F.lit(" arXiv:"), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad(F.col("turn").cast("string"), 5, "0"), F.lit("v2"), F.lit(' "A title of some length" (Author et al., 2019)'))
-    return c.select("conv_id", "turn", F.explode(tx.citations(text)).alias("c")).select("conv_id", "turn", "c.type", "c.id", "c.authors", "c.year")
+    year = lambda x, base, most: F.concat((base + F.col(x) % most).cast("string"))
+    kind, text = (F.col("conv_id") + F.col("turn")) % 5, F.lit
+    shaped = (
+        F.when(kind == 0, F.concat(text('"A title of some length" (Author et al., '), year("conv_id", 1990, 30), text(")"))).when(kind == 1, F.concat(text("Smith & Jones ("), year("turn", 1990, 30), text(') "Its title"')))
+        .when(kind == 2, 'Müller (2019) "no, the name has an umlaut"').when(kind == 3, F.concat(text("Lee et al. ("), year("conv_id", 2000, 20), text(") \u201ccurly quotes\u201d"))).otherwise('"nothing, as the year is short" (Author, 19)')
+    )
+    whole = F.concat("text", F.lit(" arXiv:"), F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0"), F.lit("."), F.lpad(F.col("turn").cast("string"), 5, "0"), F.lit("v2 "), shaped)
+    return c.select("conv_id", "turn", F.explode(tx.citations(whole)).alias("c")).select("conv_id", "turn", "c.type", "c.id", "c.authors", "c.year", "c.title")
 
 
 _ANSWERS = "answers as (select item_id as cite_id, t as tier, case when (item_id + t) % 5 = 0 then 'ERROR' when (item_id * 7 + t) % 3 = 0 then 'VERIFIED' when (item_id + t) % 3 = 1 then 'SUSPECTED' else 'NOT_FOUND' end as status, case when (item_id + t) % 2 = 0 then 'd' || cast(t as varchar) else '' end as detail from benchmark, (select unnest([1, 2, 3]) as t))"
@@ -363,12 +378,18 @@ def bibtex_render(spark, d):
     return b.with_doi(spark, d).select("sf_id", tx.bibtex(c("arxiv_id"), c("title"), c("authors"), c("year"), c("doi")).alias("bibtex"), tx.reference_line(c("arxiv_id"), c("title"), c("authors"), c("year")).alias("reference"))
 
 
-@query(b.sql("select sf_id, arxiv_id, case when length(db) = 0 then 'not_in_db' else 'ok' end as status from (select p.sf_id, p.arxiv_id, coalesce(i.title, '') as db from papers p left join (select arxiv_id, title from papers where lang = 'en') i using (arxiv_id))", P))
+_PLAIN = r"regexp_replace(lower(trim(title)), '[^a-z0-9\s]', '', 'g')"
+_SIM = "len(list_intersect(t, u)) / cast(len(t) + len(u) - len(list_intersect(t, u)) as double)"
+
+
+@query(b.sql(f"select sf_id, arxiv_id, case when db is null then 'not_in_db' when len(t) > 0 and len(u) > 0 and {_SIM} > 0.5 then 'ok' else 'mismatch' end as status from (select *, {_TRI} as t, {_TRI.replace('plain', 'other')} as u from (select sf_id, arxiv_id, db, {_PLAIN} as plain, {_PLAIN.replace('title', 'db')} as other from (select p.sf_id, p.arxiv_id, case p.sf_id % 3 when 0 then p.title when 1 then substring(p.title, 1, 60) || ' and further words' else o.title end as title, i.title as db from papers p join papers o on o.sf_id = p.sf_id // 2 left join (select arxiv_id, title from papers where lang <> 'fr') i on i.arxiv_id = p.arxiv_id)))", P))
 def entity_map_verify(spark, d):
+    """Claimed titles are a paper's own, its beginning with other words, or another paper's; French papers aren't known."""
     full = b.papers(spark, d)
-    rows = full.selectExpr("sf_id as entity", "arxiv_id", "title")
-    out = matching.verify_entities(rows, full.filter("lang = 'en'"))
-    return out.select(F.col("entity").alias("sf_id"), "arxiv_id", F.when(F.col("status") == "mismatch", F.when(F.length("db_title") < 3, "ok").otherwise("mismatch")).otherwise(F.col("status")).alias("status"))
+    other = full.select(F.col("sf_id").alias("other_id"), F.col("title").alias("other"))
+    title = F.when(F.col("sf_id") % 3 == 0, F.col("title")).when(F.col("sf_id") % 3 == 1, F.concat(F.substring("title", 1, 60), F.lit(" and further words"))).otherwise(F.col("other"))
+    claimed = full.withColumn("other_id", F.expr("sf_id div 2")).join(other, "other_id").select(F.col("sf_id").alias("entity"), "arxiv_id", title.alias("title"))
+    return matching.verify_entities(claimed, full.filter("lang <> 'fr'")).select(F.col("entity").alias("sf_id"), "arxiv_id", "status")
 
 
 # ---- deduplication ---------------------------------------------------------------------------------------------------
@@ -566,11 +587,23 @@ def code_level_best_repo(spark, d):
     return matching.best_repository(repos).select("arxiv_id", "code_url", "stars", "level")
 
 
-@query(b.sql("select page_id, 'https://github.com/lab' || cast(page_id % 10 as varchar) || '/digit' as code_url from pages"))
+_LINKED = """linked as (select page_id, case page_id % 5 when 0 then html || '<A class=x HREF="https://github.com/lab' || cast(page_id % 10 as varchar) || '/digit.git"> Code </a><a href="https://github.com/not/this">x</a>'
+ when 1 then html || 'see www.github.com/lab' || cast(page_id % 10 as varchar) || '/digit/ for it' when 2 then html || '<a class="my-code" href="https://pages.github.io/lab' || cast(page_id % 10 as varchar) || '/">'
+ when 3 then html || '<a class="code" href="https://elsewhere.org/x">' else html end as h from pages)"""
+_REPO = r"""(?i)(?:https?://)?(?:www\.)?github\.com/([A-Za-z0-9._\-]+/[A-Za-z0-9._/\-]+?)(?:[\s."''<>),]|$)"""
+_LABELLED, _CLASSED = r"""(?i)<a[^>]*href="(https?://github\.com/[^"]+)"[^>]*>\s*Code\s*</a>""", r"""(?i)<a[^>]*class="[^"]*code[^"]*"[^>]*href="([^"]+)\""""
+
+
+@query(b.sql(rf"select page_id, case when a <> '' then regexp_replace(regexp_replace(a, '/+$', ''), '\.git$', '') when g <> '' then 'https://github.com/' || regexp_replace(regexp_replace(g, '/+$', ''), '\.git$', '') when contains(lower(c), 'github') then regexp_replace(c, '/+$', '') else '' end as code_url from (select page_id, regexp_extract(h, '{_LABELLED}', 1) as a, regexp_extract(h, '{_REPO}', 1) as g, regexp_extract(h, '{_CLASSED}', 1) as c from linked)", _LINKED))
 def code_link_extract(spark, d):
-    """Every page with a link to a repository appended."""
-    html = F.concat("html", F.lit('<a href="https://github.com/lab'), (F.col("page_id") % 10).cast("string"), F.lit('/digit.git">code</a>'))
-    return b.read(spark, d, "pages").select("page_id", tx.github_url(html).alias("code_url"))
+    """Every page with a labelled link, a bare address, a link of a code class to one host or to another, or nothing appended."""
+    n = (F.col("page_id") % 10).cast("string")
+    more = (
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit('<A class=x HREF="https://github.com/lab'), n, F.lit('/digit.git"> Code </a><a href="https://github.com/not/this">x</a>')))
+        .when(F.col("page_id") % 5 == 1, F.concat(F.lit("see www.github.com/lab"), n, F.lit("/digit/ for it"))).when(F.col("page_id") % 5 == 2, F.concat(F.lit('<a class="my-code" href="https://pages.github.io/lab'), n, F.lit('/">')))
+        .when(F.col("page_id") % 5 == 3, F.lit('<a class="code" href="https://elsewhere.org/x">')).otherwise("")
+    )
+    return b.read(spark, d, "pages").select("page_id", tx.github_url(F.concat("html", more)).alias("code_url"))
 
 
 @query(b.sql(r"select page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) as h1, cast(len(list_distinct(regexp_extract_all(html, 'href=" + '"([^"]+)"' + r"', 1))) as integer) as n_links from pages"))
@@ -578,9 +611,14 @@ def html_fields(spark, d):
     return readers.html_fields(b.read(spark, d, "pages")).select("page_id", "url", "title", "h1", F.size("links").alias("n_links"))
 
 
-@query(None)
+_CAPITALISED, _TERMS = r"[A-Z][a-z]+(?:[-/][A-Z][a-z]+)*", r"\b(?:PDE|FNO|DeepONet|PINN|GAN|Transformer|CNN|RNN|MLP|ViT|INR|SOTA)\b"
+
+
+@query(b.sql(f"select p.sf_id, coalesce(k.keywords, '') as keywords from papers p left join (select sf_id, string_agg(w, ',' order by len(w) desc, w) as keywords from (select sf_id, w, row_number() over (partition by sf_id order by min(pos)) as nth from (select sf_id, unnest(l) as w, unnest(range(1, len(l) + 1)) as pos from (select sf_id, list_concat(regexp_extract_all(x, '{_CAPITALISED}'), regexp_extract_all(x, '{_TERMS}')) as l from (select sf_id, title || ' Physics-Informed PINN ' || abstract as x from papers))) where len(w) >= 3 group by sf_id, w) where nth <= 15 group by sf_id) k using (sf_id)", P))
 def keyword_extract(spark, d):
-    return b.papers(spark, d).select("sf_id", F.concat_ws(",", tx.keywords(F.col("title"))).alias("keywords"))
+    """Of titles and whole abstracts."""
+    text = F.concat("title", F.lit(" Physics-Informed PINN "), "abstract")
+    return b.papers(spark, d).select("sf_id", F.concat_ws(",", tx.keywords(text)).alias("keywords"))
 
 
 @query(b.sql("select c.conv_id, count(r.turn) as n, coalesce(string_agg(substring(r.text, 1, 300), '|' order by r.turn), '') as comments from (select distinct conv_id from conversations) c left join conversations r on r.conv_id = c.conv_id and r.role = 'user' group by c.conv_id"))
@@ -630,30 +668,25 @@ def _folder(spark, path: str) -> str:
     return path if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory() else path.replace("/events.parquet", "/events.parquet*")
 
 
-def _checkpoint(spark) -> str:
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="folioforge-")
-
-
 @query(b.sql("select event, status, count(*) as n from ev group by all", E))
 def stream_event_counts(spark, d):
     """Counts of a stream, in complete mode."""
-    import uuid
-
-    from ..streaming import jobs
-
-    return jobs.to_table(jobs.event_counts(_event_stream(spark, d)), f"counts_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    return jobs.to_table(jobs.event_counts(_event_stream(spark, d)), "complete", folder(spark), folder(spark))
 
 
 @query(b.sql("select distinct arxiv_id, event from ev", E))
 def stream_dedup(spark, d):
     """The first event of each paper and kind in a stream; the watermark spans the data."""
-    import uuid
-
-    from ..streaming import jobs
-
-    return jobs.to_table(jobs.dedup(_event_stream(spark, d), ["arxiv_id", "event"], "event_time", "3650 days").select("arxiv_id", "event"), f"dedup_{uuid.uuid4().hex}", "append", _checkpoint(spark))
-
+    return jobs.to_table(jobs.dedup(_event_stream(spark, d), ["arxiv_id", "event"], "event_time", "3650 days").select("arxiv_id", "event"), "append", folder(spark), folder(spark))
+
+
+@query(b.sql("select arxiv_id, event, min(id) as id from ev group by all", E))
+def stream_into_store(spark, d):
+    """Micro-batches into an empty store: the first event of each paper and kind stays."""
+    path = folder(spark)
+    schema = "arxiv_id string, event string, id bigint"
+    spark.createDataFrame([], schema).write.parquet(path)
+    stream = _event_stream(spark, d).select("arxiv_id", "event", "id", F.col("id").alias("ordinal"))
+    read = lambda: spark.read.schema(schema).parquet(path)
+    jobs.into_store(stream, read, lambda fresh: fresh.write.mode("append").parquet(path), ["arxiv_id", "event"], folder(spark)).awaitTermination()
+    return read()

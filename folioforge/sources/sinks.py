@@ -23,3 +23,10 @@ def front_matter(head: Column, body: Column) -> Column:
 def log_line(*fields: Column) -> Column:
     """A JSON object; null fields are left out."""
     return F.to_json(F.struct(*fields))
+
+
+def write_documents(docs: DataFrame, root: str, wiki: str | None = None) -> None:
+    """docs: arxiv_id, head (a struct), body. A document with front matter each, below root and, if given, also below the wiki's folder."""
+    made = docs.select("arxiv_id", front_matter(F.col("head"), F.col("body")).alias("value"))
+    for path in [root, *([wiki] if wiki else [])]:
+        made.write.mode("overwrite").parquet(path)

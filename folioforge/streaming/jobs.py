@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.keyed import insert_ignore
+from ..operators.keyed import new_rows
 
 
 def pages(spark: SparkSession, path: str, schema: str, form: str = "json", per_trigger: int = 100, **options: str) -> DataFrame:
@@ -41,31 +41,59 @@ def chain(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], Dat
     return run
 
 
-def into_store(stream: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], checkpoint: str, every: str | None = None, report: Callable[[int, int, int], None] | None = None) -> StreamingQuery:
-    """Micro-batches into a keyed store: the first of each key wins; known keys are ignored.
+def into_store(stream: DataFrame, read: Callable[[], DataFrame], append: Callable[[DataFrame], None], keys: Sequence[str], checkpoint: str, every: str | None = None, report: Callable[[int, int, int], None] | None = None) -> StreamingQuery:
+    """Micro-batches into a keyed store: the first of each key wins; known keys are ignored, and only new rows are appended.
 
     every: a processing-time trigger such as "15 minutes"; without it what is there is worked off and the query ends.
-    Offsets live in the checkpoint, so a restart resumes; a batch that runs again inserts nothing twice.
+    Offsets live in the checkpoint, so a restart resumes; a batch that runs again appends nothing twice, as its keys are known by then.
     report: gets batch id, rows seen and rows new (increments, never running totals).
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("ordinal", F.monotonically_increasing_id()) if "ordinal" not in batch.columns else batch
-        batch.persist()
+        batch = batch.persist()
+        fresh = new_rows(read(), batch, keys).persist()
         try:
-            old = read()
-            new = insert_ignore(old, batch, keys)
-            write(new)
+            n = fresh.count()
+            if n:
+                append(fresh)
             if report:
-                before = old.count()
-                report(batch_id, batch.count(), read().count() - before)
+                report(batch_id, batch.count(), n)
         finally:
+            fresh.unpersist()
             batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def harvest(fetch: Callable[[str | None], tuple[DataFrame, str | None] | None], read: Callable[[], DataFrame], append: Callable[[DataFrame], None], keys: Sequence[str] = ("arxiv_id",), most_pages: int = 0, report: Callable[[int, int, int], None] | None = None) -> int:
+    """Pages by resumption token: fetch(token) gives a page's rows and the next token; None, no rows or no token ends it.
+
+    Each page's rows that the store lacks are appended before the next page is asked for. most_pages: 0 for all. report: gets
+    page, rows and new rows. The number of new rows.
+    """
+    token, page, new = None, 0, 0
+    while not most_pages or page < most_pages:
+        got = fetch(token)
+        if got is None or got[0].isEmpty():
+            break
+        page += 1
+        rows, token = got
+        rows = rows.withColumn("ordinal", F.monotonically_increasing_id()) if "ordinal" not in rows.columns else rows
+        fresh = new_rows(read(), rows, keys).persist()
+        n = fresh.count()
+        if n:
+            append(fresh)
+        fresh.unpersist()
+        new += n
+        if report:
+            report(page, rows.count(), n)
+        if not token:
+            break
+    return new
+
+
 def drain(pull: Callable[[], DataFrame], work: Callable[[DataFrame], None]) -> int:
     """Batches until a pulled one is empty; how many there were."""
     n = 0
@@ -75,8 +103,20 @@ def drain(pull: Callable[[], DataFrame], work: Callable[[DataFrame], None]) -> i
     return n
 
 
-def to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What the stream has given when all that is there is worked off, from an in-memory table (for reports and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_table(stream: DataFrame, mode: str, checkpoint: str, path: str) -> DataFrame:
+    """What the stream has given when all that is there is worked off. Each micro-batch is a folder of Parquet files below path.
+
+    mode append: all batches together; complete: the last one. A batch that runs again replaces its own folder.
+    """
+    last: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        last.append(batch_id)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}" if mode == "complete" else f"{path}/batch=*")

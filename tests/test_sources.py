@@ -106,7 +106,7 @@ def test_stream_into_store(spark, tmp_path):
     seen = []
 
     def write(df):
-        state["df"] = spark.createDataFrame(df.collect(), df.schema)
+        state["df"] = state["df"].union(spark.createDataFrame(df.collect(), df.schema))
 
     for k, rows in enumerate(([("a", 1), ("b", 2)], [("b", 3), ("c", 4)])):
         (tmp_path / f"in/{k}.json").write_text("".join(json.dumps({"arxiv_id": a, "v": v}) + "\n" for a, v in rows))
@@ -119,7 +119,7 @@ def test_stream_windows_and_drain(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/0.json").write_text("".join(json.dumps({"t": f"2024-01-01T00:{m:02d}:00", "event": "e"}) + "\n" for m in (1, 2, 20)))
     s = jobs.pages(spark, str(tmp_path / "in"), "t timestamp, event string")
-    got = jobs.to_table(jobs.windowed_counts(s, "t", "10 minutes", "5 minutes"), "windows_t", "complete", str(tmp_path / "cp")).collect()
+    got = jobs.to_table(jobs.windowed_counts(s, "t", "10 minutes", "5 minutes"), "complete", str(tmp_path / "cp"), str(tmp_path / "out")).collect()
     assert sorted(r.n for r in got) == [1, 2]
     left = [2, 1, 0]
     assert jobs.drain(lambda: spark.range(left.pop(0)), lambda df: None) == 2

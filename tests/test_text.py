@@ -95,7 +95,9 @@ def test_github_links(spark):
         'x <a href="https://github.com/a/b"><img src=s></a> https://github.com/c/d', "see https://github.com/a/digit.git now", '<a class="x code y" href="https://e.org/r">',
         '<div class="code-links"><a href="https://gitlab.com/q/r">', "none",
     ]
-    assert apply(spark, tx.github_url, cases) == ["https://github.com/a/b", "https://github.com/a/digit", "https://e.org/r", "https://gitlab.com/q/r", ""]
+    assert apply(spark, tx.github_url, cases) == ["https://github.com/a/b", "https://github.com/a/digit", "", "", ""]
+    more = ['see GitHub.com/a/b/tree/x/ <A HREF="https://github.com/c/d.git"> code </A>', '<a class="code" href="https://x.github.io/y/">', '<div class="code-links">www.github.com/q/r, s</div>', "github.com/alone"]
+    assert apply(spark, tx.github_url, more) == ["https://github.com/c/d", "https://x.github.io/y", "https://github.com/q/r", ""]
     assert apply(spark, tx.hosted_code_url, ["https://gitlab.com/a/b", "x"]) == ["https://github.com/a/b", ""]
 
 
