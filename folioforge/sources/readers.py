@@ -200,7 +200,8 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def state_files(spark: SparkSession, path: str) -> DataFrame:
     """Progress files, a JSON object each; a broken one gives a row whose status tells so."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    name = F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B"))  # blanks and the like are told as %20
+    raw = spark.read.text(path, wholetext=True).select(name.alias("path"), F.col("value"))
     p = raw.withColumn("s", F.from_json("value", "source string, status string, total_fetched bigint, total_new bigint, last_update string, checksum string, error string, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("s").isNull() | F.col("s._bad").isNotNull()
     return p.select(
@@ -216,6 +217,53 @@ def jsonl_info(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.lit(True).alias("exists"), "size_mb", F.lit(spark.read.text(path).count()).alias("lines"))
 
 
+def archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of a downloaded dump below a folder. Of its kinds, also those within zip archives, JSON lines come before JSON, and
+    these before gzipped ones; of the first kind there is, the first file by name is read, a member of an archive as a stream.
+
+    An archive is one file, so one task unpacks it; what it gives is dealt out again by the next shuffle. No such file is an error.
+    """
+    kinds = (".jsonl", ".json", ".jsonl.gz", ".json.gz")
+
+    def listed(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for part in batches:
+            for p, content in zip(part["path"], part["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    yield pd.DataFrame([(p, n) for n in z.namelist()], columns=["path", "member"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    plain = files.select("path").filter("not path like '%.zip'").withColumn("member", F.lit("").cast("string"))
+    zipped = files.filter("path like '%.zip'").select("path", "content").mapInPandas(listed, "path string, member string")
+    name = F.lower(F.when(F.col("member") == "", F.col("path")).otherwise(F.col("member")))
+    rank = F.coalesce(*(F.when(name.endswith(k), i) for i, k in enumerate(kinds)))
+    found = plain.unionByName(zipped).withColumn("rank", rank).filter("rank is not null").orderBy("rank", "path", "member").first()
+    if found is None:
+        raise FileNotFoundError(f"no JSON lines below {path}")
+    if not found["member"]:
+        return spark.read.text(found["path"])
+
+    def unpacked(batches, member=found["member"]):
+        import gzip
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for part in batches:
+            for content in part["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
+                    lines = io.TextIOWrapper(gzip.open(raw) if member.endswith(".gz") else raw, encoding="utf-8", newline="\n")
+                    while some := lines.readlines(1 << 20):
+                        yield pd.DataFrame({"value": [x.rstrip("\r\n") for x in some]})
+
+    return spark.read.format("binaryFile").load(found["path"]).select("content").mapInPandas(unpacked, "value string")
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of candidate papers; missing fields get defaults, a missing file is an empty table."""
     schema = "arxiv_id string, title string, abstract string, categories array<string>, source string, url string, code_url string, relevance int, md5_abstract string"

@@ -123,3 +123,35 @@ def test_stream_windows_and_drain(spark, tmp_path):
     assert sorted(r.n for r in got) == [1, 2]
     left = [2, 1, 0]
     assert jobs.drain(lambda: spark.range(left.pop(0)), lambda df: None) == 2
+
+
+def test_archives(spark, tmp_path):
+    """JSON lines before JSON before gzip, within zip archives too."""
+    import gzip
+    import zipfile
+
+    with pytest.raises(FileNotFoundError):
+        (tmp_path / "x").mkdir()
+        (tmp_path / "x/readme.txt").write_text("x")
+        readers.archive_lines(spark, str(tmp_path / "x"))
+    lines = lambda: [r.value for r in readers.archive_lines(spark, str(tmp_path / "x")).collect()]
+    (tmp_path / "x/c.json.gz").write_bytes(gzip.compress(b'{"id":"gz"}\n'))
+    assert lines() == ['{"id":"gz"}']
+    with zipfile.ZipFile(tmp_path / "x/a.zip", "w") as z:
+        z.writestr("deep/b.json", '{"id":"1"}\n{"id":"2"}\r\n')
+        z.writestr("notes.txt", "no")
+    assert lines() == ['{"id":"1"}', '{"id":"2"}']
+    with zipfile.ZipFile(tmp_path / "x/b.zip", "w") as z:
+        z.writestr("c.jsonl", '{"id":"é"}')
+    assert lines() == ['{"id":"é"}']
+
+
+def test_harvest_by_token(spark):
+    """Pages until no token is given; known rows are skipped; most_pages stops early."""
+    pages = {None: (["a", "b"], "t1"), "t1": (["b", "c"], "t2"), "t2": (["c", "d"], None), "t3": ([], None)}
+    one = lambda ids: spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "arxiv_id string, ordinal long")
+    for most, want in ((0, ["a", "b", "c", "d"]), (2, ["a", "b", "c"])):
+        state, seen = {"df": one(["a"])}, []
+        n = jobs.harvest(lambda t: (one(pages[t][0]), pages[t][1]), lambda s=state: s["df"], lambda df, s=state: s.update(df=s["df"].union(one([r.arxiv_id for r in df.collect()]))), most_pages=most, report=lambda *x, s=seen: s.append(x))
+        assert sorted(r.arxiv_id for r in state["df"].collect()) == want and n == len(want) - 1 and seen[0] == (1, 2, 1)
+    assert jobs.harvest(lambda t: None, lambda: one([]), lambda df: None) == 0 and jobs.harvest(lambda t: (one([]), "t"), lambda: one([]), lambda df: None) == 0

@@ -196,3 +196,20 @@ def test_schema_evolution(spark):
     old = spark.createDataFrame([("a", None)], "arxiv_id string, title string")
     assert blank_missing(conform(old, "arxiv_id string, title string, source string, n int")).first().asDict() == {"arxiv_id": "a", "title": "", "source": "", "n": 0}
     assert store.add_columns(store.add_columns(old, {"x": 1}), {"x": 2}).first().x == 1
+
+
+def test_reports():
+    sources = [{"source": "oai", "n": 5, "first_import": "2020", "last_import": "2021"}, {"source": "unknown", "n": 2}]
+    states = [{"source": "oai", "status": "done", "total_new": 1234, "error": ""}, {"source": "x", "status": "failed", "total_new": None, "error": "boom"}]
+    text = audit.render_full(7, sources, {"total": 7, "verified": 3, "verified_ratio": 0.4286, "dual": 1, "dual_ratio": 0.1429, "has_code": 2}, [{"id_type": "doi", "n": 3}], states, {"exists": True, "size_mb": 1.5, "lines": 10})
+    for said in ("[legacy] 2 papers", "[oai] 5 papers", "first import: 2020", "oai: done, 1,234 papers", "error: boom", "10 lines, 1.5 MB", "verified: 3 (42.9 %)", "doi: 3"):
+        assert said in text
+    assert "no state files" in audit.render_sources(0, []) and "JSON lines: none" in audit.render_sources(0, [])
+
+
+def test_retries_and_sources(spark):
+    t = spark.createDataFrame([(1, 0), (2, 2), (3, 3)], "id long, retries int")
+    got = {r.id: (r.retries, r.wait) for r in queueing.requeued(t, spark.createDataFrame([(1,), (1,), (2,), (3,)], "id long"), 3, 1.0, 3.0).collect()}
+    assert got == {1: (1, 1.0), 2: (3, 3.0)}
+    s = spark.createDataFrame([("b", 2, True), ("a", 1, False), ("c", 1, True)], "source string, priority int, enabled boolean")
+    assert [r.source for r in queueing.available(s).collect()] == ["c", "b"] and queueing.plan_tasks(t, s).count() == 6
