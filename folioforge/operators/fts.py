@@ -6,6 +6,7 @@ by term, so others are pruned), reduces them to one row a document and ranks tho
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem as stem_word
 from ..functions.stem import stems
 from ..functions.text import has_category, in_years
+from ..shared import BROADCAST_ROWS
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -148,8 +150,12 @@ class Index:
         each = split.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in columns))).alias("f"))
         placed = each.select("doc", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term"))
         postings = placed.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-        if stemmed:  # of postings, not of occurrences, and without a join, on which a frequent term would be a hot key
-            same = postings.withColumn("term", stems("term")).groupBy("term", "doc", "field")
+        if stemmed:  # the UDF sees each term of the vocabulary once, and the join postings, not occurrences
+            terms = postings.select("term").distinct()
+            vocabulary = terms.withColumn("stem", stems("term"))
+            if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+                vocabulary = F.broadcast(vocabulary)
+            same = postings.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term").groupBy("term", "doc", "field")
             postings = same.agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         return cls(postings, lengths, columns, stemmed)
 
@@ -208,20 +214,21 @@ class Index:
         """doc and score (BM25, higher is better) of the documents that match."""
         tree = parse(query, self.columns, self.stemmed)
         hits, atoms = self.hits(tree)
-        # One row: how many documents hold each atom, how many there are, and their mean length. Part of the same plan, which
-        # computes the hits' exchange once; nothing runs before the result is asked for.
-        held = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(atoms))))
-        sizes = self.lengths.agg(F.count(F.lit(1)).cast("double").alias("docs"), F.coalesce(F.nullif(F.avg("length"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
+        # One row: how many documents hold each atom, how many there are, and their mean length. Two small jobs on a saved
+        # index; an index that was just built should be saved first if it is asked more than once.
+        held = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(atoms))))
+        sizes = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+        n, size = held.first(), sizes.first()
+        docs, mean = size["docs"], float(size["mean"] or 1.0)
         positive = _positive(tree)
 
         def part(i: int) -> Column:
-            idf = F.greatest(F.log((F.col("docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(IDF_FLOOR))
+            idf = max(math.log((docs - n[i] + 0.5) / (n[i] + 0.5)), IDF_FLOOR)
             f = F.col(f"f{i}").cast("double")
-            return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+            return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
 
         score = reduce(lambda a, b: a + b, (part(i) for i, a in enumerate(atoms) if a in positive))
-        fit = hits.filter(self.admits(tree, atoms)).join(self.lengths, "doc")
-        return fit.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(sizes)).select("doc", score.alias("score"))
+        return hits.filter(self.admits(tree, atoms)).join(self.lengths, "doc").select("doc", score.alias("score"))
 
 
 def _positive(tree: Node) -> set[Atom]:
