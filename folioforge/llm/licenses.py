@@ -5,7 +5,7 @@ all rows of some band are candidates, and the template's exact shingle containme
 eighth of the template, so a window around a copy that holds 0.8 of the template's shingles has a Jaccard similarity of at
 least ``LEAST_JACCARD``; the number of bands follows from the collision probability that is asked for (``bands_for``).
 Texts of different licenses that share most shingles (versions, families, clauses) are told apart by phrases that the window
-must hold or must not. A template of fewer than five words, such as an SPDX line, is one shingle of all its words.
+must hold or must not; a notice that cites a license by name (``<license>-notice``) must stand there whole. A template of fewer than five words, such as an SPDX line, is one shingle of all its words.
 
 A license may have several templates; the best window of any counts. Only windows that share a shingle with a template can
 collide with it, so only those are hashed. A narrow map; the templates are a fixed list (or the caller's), some kilobytes.
@@ -159,18 +159,19 @@ def _phrase(text: str) -> np.ndarray:
 
 @dataclass
 class Group:
-    """Templates of one shingle size: which license each is of, its set of shingles, band keys, and phrases by word hashes."""
+    """Templates of one shingle size: which license each is of, its set of shingles, the least containment, and phrases by word hashes."""
 
     size: int
     licenses: list[int] = field(default_factory=list)
     sets: list[np.ndarray] = field(default_factory=list)
+    least: list[float] = field(default_factory=list)
     must: list[list[np.ndarray]] = field(default_factory=list)
     must_not: list[list[np.ndarray]] = field(default_factory=list)
 
 
 class Templates:
     def __init__(self, templates: Mapping[str, str | Sequence[str]], containment: float = CONTAINMENT, must: Mapping = MUST, must_not: Mapping = MUST_NOT):
-        self.containment, self.names = containment, list(templates)
+        self.names = list(templates)
         self.bands = bands_for(LEAST_JACCARD, ROWS, COLLISION)
         self.seeds = mixed(np.arange(1, self.bands * ROWS + 1, dtype=np.uint64))
         groups: dict[int, Group] = {}
@@ -180,6 +181,7 @@ class Templates:
                 if n:
                     g = groups.setdefault(min(n, SHINGLE), Group(min(n, SHINGLE)))
                     g.licenses.append(k)
+                    g.least.append(1.0 if name.endswith("-notice") else containment)
                     g.sets.append(np.unique(Shingled([text], g.size).of_text(0)))
                     g.must.append([_phrase(x) for x in must.get(name, ())])
                     g.must_not.append([_phrase(x) for x in must_not.get(name, ())])
@@ -217,7 +219,7 @@ class Templates:
                         words = min(wide, end - start) + g.size - 1
                         one = (-share, start - begin, words)
                         key = t, g.licenses[k]
-                        if share >= self.containment - 1e-12 and (key not in best or one < best[key]) and self._told(got, g, k, start, words):
+                        if share >= g.least[k] - 1e-12 and (key not in best or one < best[key]) and self._told(got, g, k, start, words):
                             best[key] = one
         for t, k in sorted(best):
             share, first, words = best[t, k]
