@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem as stem_word
 from ..functions.stem import stems
 from ..functions.text import has_category, in_years
-from ..shared import BROADCAST_ROWS
+from ..shared import cut, small
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -150,11 +150,8 @@ class Index:
         each = split.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in columns))).alias("f"))
         placed = each.select("doc", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term"))
         postings = placed.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-        if stemmed:  # the UDF sees each term of the vocabulary once, and the join postings, not occurrences
-            terms = postings.select("term").distinct()
-            vocabulary = terms.withColumn("stem", stems("term"))
-            if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-                vocabulary = F.broadcast(vocabulary)
+        if stemmed:  # written, or a filter on stems would be pushed below the aggregates and the UDF would see occurrences
+            vocabulary = small(cut(placed.select("term").distinct().withColumn("stem", stems("term"))))
             same = postings.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term").groupBy("term", "doc", "field")
             postings = same.agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         return cls(postings, lengths, columns, stemmed)
