@@ -155,3 +155,15 @@ def test_harvest_by_token(spark):
         n = jobs.harvest(lambda t: (one(pages[t][0]), pages[t][1]), lambda s=state: s["df"], lambda df, s=state: s.update(df=s["df"].union(one([r.arxiv_id for r in df.collect()]))), most_pages=most, report=lambda *x, s=seen: s.append(x))
         assert sorted(r.arxiv_id for r in state["df"].collect()) == want and n == len(want) - 1 and seen[0] == (1, 2, 1)
     assert jobs.harvest(lambda t: None, lambda: one([]), lambda df: None) == 0 and jobs.harvest(lambda t: (one([]), "t"), lambda: one([]), lambda df: None) == 0
+
+
+def test_stems_are_made_of_the_vocabulary_once(spark):
+    """A query's plan runs no UDF, and finds what stems of plain Python find."""
+    from folioforge.functions.stem import stem
+
+    texts = {1: "Relational models, trained", 2: "a training of the model", 3: "nothing", 4: None, 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "id bigint, title string")
+    found = fts.Index.build(docs, "id", ("title",)).match("model AND train")
+    want = [k for k, x in texts.items() if {"model", "train"} <= {stem(w.strip(",").lower()) for w in (x or "").split()}]
+    assert sorted(r["doc"] for r in found.collect()) == want == [1, 2]
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
