@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from folioforge.plans import catalogue, readings  # noqa: F401  readings adds its queries to the catalogue
+from folioforge.plans import catalogue, growth, readings  # noqa: F401  growth and readings add their queries to the catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
