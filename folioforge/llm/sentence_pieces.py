@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, whole_texts
 
-#: Words of up to so many characters are kept, and as many of them; so are pairs of neighbours.
-MEMO_LENGTH, MEMO_WORDS, MEMO_PAIRS = 48, 800_000, 1_000_000
+#: Words of up to so many characters are kept, as many of them in either generation; so are pairs of neighbours.
+MEMO_LENGTH, MEMO_WORDS, MEMO_PAIRS = 40, 150_000, 300_000
 # The mark that stands for a blank, and what unknown ids decode to.
 BLANK, UNKNOWN = "▁", " ⁇ "
 
@@ -60,15 +60,21 @@ def fields(message: bytes):
 
 
 class Words(dict):
-    """Bytes of the ids (little-endian uint32) of words, encoded when they are first asked for."""
+    """Bytes of the ids (little-endian uint32) of words, encoded when they are first asked for.
+
+    A full memo becomes the older generation, from which words that are asked for again come back.
+    """
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= MEMO_LENGTH:
             if len(self) >= MEMO_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -110,7 +116,7 @@ class Pieces:
         self.controls = [i for i, k in enumerate(self.kind) if k == self.CONTROL]
         self.bos, self.eos = self.text.index("<s>"), self.text.index("</s>")
         self.unknown = re.compile(f"([^{re.escape(''.join(sorted(single)))}])")
-        self.cut = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        self.cut = re.compile(" *[^ ]+| +")
         self.bytes = [(t.replace(BLANK, " ") if k == self.NORMAL else UNKNOWN if k == self.UNK else "").encode() for t, k in zip(self.text, self.kind, strict=True)]
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
@@ -194,7 +200,7 @@ class Pieces:
     def word(self, word: str) -> bytes:
         """The ids of a word with the blanks before it. Characters without a piece go byte by byte; nothing merges with them."""
         ids: list[int] = []
-        for i, part in enumerate(self.unknown.split(word)):
+        for i, part in enumerate(self.unknown.split(word.replace(" ", BLANK))):
             if i % 2:
                 ids += [self.byte[b] for b in part.encode("utf-8", "surrogatepass")]
             elif part:
@@ -203,7 +209,7 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """Ids with begin and end, as little-endian uint32."""
-        parts = self.cut.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        parts = self.cut.findall(" " + text.replace(BLANK, " ")) if text else []
         return b"".join([array("I", [self.bos]).tobytes(), *map(self.words.__getitem__, parts), array("I", [self.eos]).tobytes()])
 
     def decode(self, ids) -> str:
