@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -115,17 +115,27 @@ def _windows(t: Column, n: int) -> Column:
     return F.slice(F.transform(t, hashed), F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
 
 
-def check_citations(citations: DataFrame, index: DataFrame, top: int = 3) -> DataFrame:
+def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each key. A task passes on that many of a key at most, before the shuffle and after it."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def check_citations(citations: DataFrame, index: DataFrame, top: int = 3, columns: Sequence[str] = ("title", "abstract")) -> DataFrame:
     """citations: cite_id, title, authors_hint, year_hint. The best ``top`` matches of each with score and status.
 
-    Without a match one row says NOT_FOUND. The year is that of update_date.
+    Without a match one row says NOT_FOUND. The year is that of update_date. Citations that say the same are looked up once, and
+    of a citation's matches, however many, each task passes ``top`` on.
     """
-    pairs = phrase_candidates(citations.select("cite_id", "title"), index)
-    hit = pairs.join(citations, "cite_id").join(index.select("doc_id", F.col("title").alias("found"), F.col("authors").alias("found_authors"), tx.year_of(F.col("update_date")).alias("found_year")), "doc_id")
+    said = F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("authors_hint", F.lit("")).alias("authors_hint"), F.coalesce("year_hint", F.lit(0)).alias("year_hint"))
+    asked = citations.groupBy(said.alias("said")).agg(F.min("cite_id").alias("cite_id")).select("cite_id", "said.*")
+    pairs = phrase_candidates(asked.select("cite_id", "title"), index, columns)
+    hit = pairs.join(asked, "cite_id").join(index.select("doc_id", F.col("title").alias("found"), F.col("authors").alias("found_authors"), tx.year_of(F.col("update_date")).alias("found_year")), "doc_id")
     scored = hit.withColumn("score", citation_scores("title", "found", "year_hint", "found_year", "authors_hint", "found_authors"))
-    best = scored.groupBy("cite_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "doc_id", "score", "found"))), 1, top).alias("b"))
-    rows = citations.join(best, "cite_id", "left").select("cite_id", F.explode_outer("b").alias("m"))
-    return rows.select("cite_id", "m.doc_id", "m.found", F.coalesce("m.score", F.lit(0.0)).alias("score"), tx.status_of(F.coalesce("m.score", F.lit(0.0))).alias("status"))
+    best = best_rows(scored.select("cite_id", "doc_id", "found", "score"), ["cite_id"], [F.desc("score"), F.asc("doc_id")], top)
+    answers = asked.join(best, "cite_id", "left").select(F.struct("title", "authors_hint", "year_hint").alias("said"), "doc_id", "found", "score")
+    rows = citations.select("cite_id", said.alias("said")).join(answers, "said")
+    return rows.select("cite_id", "doc_id", "found", F.coalesce("score", F.lit(0.0)).alias("score"), tx.status_of(F.coalesce("score", F.lit(0.0))).alias("status"))
 
 
 def remote_matches(queries: DataFrame, candidates: DataFrame, query_first: bool = True, least: float = 0.70) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..operators import audit
 from ..sources import cards
 from . import bindings as b
 from .catalogue import query
@@ -39,3 +41,20 @@ def page_cards(spark, d):
     """Every card of every page that has a title and an identifier."""
     found = cards.listed_papers(cards.page_cards(_with_cards(b.read(spark, d, "pages"))))
     return found.select("page_id", "card", "parent", "title", "arxiv_id", "code_url", "abstract")
+
+
+# ---- citations -------------------------------------------------------------------------------------------------------
+
+_PLAIN_TITLE = r"lower(trim(regexp_replace(regexp_replace(title, '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')))"
+_WANTED = f"""plain as (select sf_id, {_PLAIN_TITLE} as t, year, authors, source from papers), wanted as (select sf_id as cite_id, array_to_string(string_split(t, ' ')[1:4], ' ') as w, year + sf_id % 6 as hint, case when sf_id % 2 = 0 then source else 'nobody' end as who from plain where t <> ''),
+ scored as (select cite_id, p.sf_id as doc_id, cast(printf('%.2f', least(1.0::double, 0.8::double * (2.0::double * len(w) / (len(w) + len(t))) + case when w = t then 0.15::double else 0 end + case when abs(p.year - hint) <= 1 then 0.2::double when abs(p.year - hint) <= 3 then 0.1::double else 0 end + case when contains(lower(p.authors), lower(who)) then 0.2::double else 0 end)) as double) as score
+ from wanted join plain p on contains(' ' || t || ' ', ' ' || w || ' '))"""
+
+
+@query(b.sql("select cite_id, doc_id, score, case when score >= 0.7 then 'VERIFIED' when score >= 0.4 then 'SUSPECTED' else 'NOT_FOUND' end as status from scored qualify row_number() over (partition by cite_id order by score desc, doc_id) <= 3", P, _WANTED))
+def citation_best_three(spark, d):
+    """The beginning of every title as a citation, against all titles: the longest common block is then the citation itself, so SQL knows the ratio."""
+    p = b.papers(spark, d)
+    t = F.array_join(F.slice(audit.title_tokens(F.col("title")), 1, 4), " ")
+    cites = p.select(F.col("sf_id").alias("cite_id"), t.alias("title"), F.when(F.col("sf_id") % 2 == 0, F.col("source")).otherwise("nobody").alias("authors_hint"), (F.col("year") + F.col("sf_id") % 6).alias("year_hint")).filter("title <> ''")
+    return audit.check_citations(cites, p.select(F.col("sf_id").alias("doc_id"), "title", "abstract", "authors", "update_date"), columns=("title",)).select("cite_id", "doc_id", "score", "status")
