@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..shared import cut
+from . import neighbours
 
-#: Vectors of a query set that are compared at once; a larger set is taken block by block.
+#: Vectors of a query set that are sent to all tasks at most.
 BLOCK = 16_384
 #: Rows that a block is compared with at once: a matrix of BLOCK x TILE similarities.
 TILE = 256
@@ -75,69 +75,43 @@ def best_title(wanted: DataFrame, candidates: DataFrame, least: float = 0.3) ->
     return best_by(scored, "cite_id", "sim", "ordinal").withColumn("confidence", F.least(F.col("sim") + 0.2, F.lit(1.0)))
 
 
-def _unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the rows that have one of the common length, and which rows those are."""
-    lists = vectors.to_pylist()
-    width = max((len(v) for v in lists if v), default=0)
-    some = np.array([i for i, v in enumerate(lists) if v and len(v) == width and None not in v], np.int64)
-    x = np.array([lists[i] for i in some], np.float64).reshape(len(some), width)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300), some
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, neighbour_id, sim, rank: the k rows of greatest cosine (six places; ties by id) of each query, itself left out.
 
-    The stated query set is taken in blocks; each partition of the rows keeps its own k best of a block (one matrix
-    product), and partial results are merged by key: k rows for each query and partition are shuffled.
+    Up to BLOCK queries go to the tasks, each of which keeps its own k best of each (one matrix product a tile); k rows a query and
+    task are shuffled. More queries are joined by pivots and bounds (``neighbours.join``), and none of them comes to the driver.
     """
-    out = None
-    blocks = _blocks(queries.select(key, vector))
-    for block in blocks:
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, x = np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            best: tuple = (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64))
-            for batch in batches:
-                for lo in range(0, batch.num_rows, TILE):
-                    part = batch.slice(lo, TILE)
-                    y, some = _unit(part.column(1))
-                    if not len(some) or y.shape[1] != x.shape[1]:
-                        continue
-                    own = part.column(0).to_numpy(zero_copy_only=False)[some]
-                    sims = np.round(x @ y.T, 6) + 0.0
-                    sims[ids[:, None] == own[None, :]] = -2.0
-                    s = np.hstack((best[0], sims))
-                    o = np.hstack((best[1], np.broadcast_to(own, sims.shape)))
-                    if s.shape[1] > 4 * k:  # those that may be among the k best, all ties of the last one included
-                        least = np.partition(s, -k, axis=1)[:, -k]
-                        some = max(k, int((s >= least[:, None]).sum(axis=1).max()))
-                        near = np.argpartition(-s, min(some, s.shape[1]) - 1, axis=1)[:, :some]
-                        s, o = np.take_along_axis(s, near, 1), np.take_along_axis(o, near, 1)
-                    order = np.lexsort((o, -s), axis=1)[:, :k]
-                    best = np.take_along_axis(s, order, 1), np.take_along_axis(o, order, 1)
-            keep = best[0] >= -1.5
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], keep.shape)[keep]), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query_id", "neighbour_id", "sim"])
-
-        part = vectors.select(key, vector).mapInArrow(run, "query_id bigint, neighbour_id bigint, sim double")
-        # Of several blocks, each one's partial result is written before the next block is read, so the driver holds one.
-        out = part if out is None else cut(out).unionAll(cut(part))
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, sim double, rank int")
-    # At most k rows a query and partition meet here.
-    best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("o"), "neighbour_id", "sim"))), 1, k).alias("m"))
-    return best.select("query_id", F.posexplode("m").alias("p", "m")).select("query_id", "m.neighbour_id", "m.sim", (F.col("p") + 1).alias("rank"))
-
-
-def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    block: list[tuple] = []
-    for r in queries.filter(F.size(queries.columns[1]) > 0).toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    asked = queries.select(F.col(key).cast("bigint"), vector).filter(F.size(vector) > 0).limit(BLOCK + 1).collect()
+    if len(asked) > BLOCK:
+        return neighbours.join(vectors, queries, k, key, vector)
+    width = max((len(r[1]) for r in asked), default=0)
+    own = {r[0]: [float("nan") if v is None else float(v) for v in r[1]] for r in asked if len(r[1]) == width}
+    x, some = neighbours.unit(pa.array(own.values(), pa.list_(pa.float64())), width)
+    ids = np.array(list(own), np.int64)[some]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            y, fit = neighbours.unit(batch.column(1), width)
+            hits = neighbours.best(ids, x, batch.column(0).to_numpy(zero_copy_only=False)[fit], y, k, TILE)
+            held.append(hits)
+            if len(held) > 8:
+                held = [merged(held)]
+        if held:
+            yield merged(held)
+
+    def merged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The k best of each query."""
+        all_of = pa.Table.from_batches(held).combine_chunks()
+        q, n, s = (all_of.column(c).to_numpy() for c in ("query_id", "neighbour_id", "sim"))
+        order = np.lexsort((n, -s, q))
+        first = np.concatenate(([0], np.flatnonzero(np.diff(q[order])) + 1)) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        return all_of.take(pa.array(order[place < k])).combine_chunks().to_batches()[0] if len(q) else held[0]
+
+    hits = vectors.select(F.col(key).cast("bigint"), vector).mapInArrow(run, neighbours.HIT)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc("neighbour_id")))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def classify(vectors: DataFrame, concepts: list[tuple[object, list[float]]], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -149,7 +123,7 @@ def classify(vectors: DataFrame, concepts: list[tuple[object, list[float]]], key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, some = _unit(batch.column(1))
+            x, some = neighbours.unit(batch.column(1), c.shape[1])
             if not len(some):
                 continue
             sims = np.round(x @ c.T, 6) + 0.0

@@ -635,7 +635,10 @@ def review_collect(spark, d):
 _UNIT = "v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as norm from embeddings)"
 
 
-@query(b.sql("select query_id, neighbour_id, sim, cast(rank as integer) as rank from (select q.vec_id as query_id, v.vec_id as neighbour_id, round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 6) as sim, row_number() over (partition by q.vec_id order by round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 6) desc, v.vec_id) as rank from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0) where rank <= 10", _UNIT))
+_NEAREST = b.sql("select query_id, neighbour_id, sim, cast(rank as integer) as rank from (select q.vec_id as query_id, v.vec_id as neighbour_id, round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 6) as sim, row_number() over (partition by q.vec_id order by round(list_dot_product(q.e, v.e) / (q.norm * v.norm), 6) desc, v.vec_id) as rank from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0) where rank <= 10", _UNIT)
+
+
+@query(_NEAREST)
 def embedding_cosine_topk(spark, d):
     """Ten nearest of every vector whose id is divisible by 50 (the stated query set), against all."""
     v = b.read(spark, d, "embeddings")

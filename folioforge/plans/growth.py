@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit
+from ..operators import audit, neighbours
 from ..sources import cards
 from . import bindings as b
-from .catalogue import query
+from .catalogue import _NEAREST, query
 
 P, I, M, E = b.PAPERS, b.IDENTIFIERS, b.META, b.EVENTS
 
@@ -58,3 +58,13 @@ def citation_best_three(spark, d):
     t = F.array_join(F.slice(audit.title_tokens(F.col("title")), 1, 4), " ")
     cites = p.select(F.col("sf_id").alias("cite_id"), t.alias("title"), F.when(F.col("sf_id") % 2 == 0, F.col("source")).otherwise("nobody").alias("authors_hint"), (F.col("year") + F.col("sf_id") % 6).alias("year_hint")).filter("title <> ''")
     return audit.check_citations(cites, p.select(F.col("sf_id").alias("doc_id"), "title", "abstract", "authors", "update_date"), columns=("title",)).select("cite_id", "doc_id", "score", "status")
+
+
+# ---- nearest vectors -------------------------------------------------------------------------------------------------
+
+
+@query(_NEAREST)
+def embedding_pivot_join(spark, d):
+    """As embedding_cosine_topk, with cells and bounds in place of a broadcast of the queries."""
+    v = b.read(spark, d, "embeddings")
+    return neighbours.join(v, v.filter("vec_id % 50 = 0"), 10)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioforge.functions.similarity import citation_score
-from folioforge.operators import audit
+from folioforge.operators import audit, matching, neighbours
 
 
 def plan(df):
@@ -40,3 +40,40 @@ def test_citations_of_a_title_that_many_rows_carry(spark):
         best = sorted((-citation_score(title, r.title, year or 0, int(r.update_date[:4]), who or "", r.authors), r.doc_id) for r in held)[:3]
         assert sorted(got[i], key=lambda x: (-x[1], x[0] or 0)) == ([(d, -s, "VERIFIED" if -s >= 0.7 else "SUSPECTED" if -s >= 0.4 else "NOT_FOUND") for s, d in best] or [(None, 0.0, "NOT_FOUND")])
     assert got[1] == got[7]
+
+
+def brute_nearest(rows, queries, k):
+    import numpy as np
+
+    width = max((len(v) for _, v in queries if v), default=0)
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    fit = lambda v: v is not None and len(v) == width and None not in v and np.isfinite(v).all()
+    out = []
+    for q, x in {i: v for i, v in queries if fit(v)}.items():
+        sims = sorted((-round(float(unit(x) @ unit(y)), 6) + 0.0, i) for i, y in rows if fit(y) and i != q)
+        out += [(q, i, -s + 0.0, n + 1) for n, (s, i) in enumerate(sims[:k])]
+    return sorted(out)
+
+
+def test_nearest_by_pivots(spark, monkeypatch):
+    """A third of the rows the same, clusters, ties, zero vectors, rows to be left out, queries that aren't rows; small blocks."""
+    import random
+
+    monkeypatch.setattr(neighbours, "ROWS", 50)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    rnd = random.Random(5)
+    centres = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [c + rnd.gauss(0, 0.02) for c in centres[i % 12]]) for i in range(400)] + [(1000 + i, [1.0, 2.0, 0.0, 0.0, 0.0, 1.0]) for i in range(200)]
+    rows += [(2000, [0.0] * 6), (2001, [0.0] * 6), (2002, None), (2003, []), (2004, [1.0] * 5), (2005, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2006, [float("nan")] * 6)]
+    queries = [r for r in rows if r[0] % 10 == 0] + [(9000, [0.0] * 6), (9001, [-1.0, -2.0, 0.0, 0.0, 0.0, -1.0]), (9002, None)]
+    frame = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>").withColumn("sim", F.lit(1))
+    seen = []
+    for k, pivots in ((5, 0), (5, 12), (250, 3), (5, 1)):
+        got = neighbours.join(frame(rows), frame(queries), k, pivots=pivots, report=lambda met, of: seen.append((met, of)))
+        assert sorted(map(tuple, got.collect())) == brute_nearest(rows, queries, k)
+    assert seen[1][0] < 0.6 * seen[1][1]  # most cells are skipped where vectors form clusters
+    assert sorted(map(tuple, matching.nearest(frame(rows), frame(queries), 5).collect())) == brute_nearest(rows, queries, 5)
+    monkeypatch.setattr(matching, "BLOCK", 5)
+    assert sorted(map(tuple, matching.nearest(frame(rows), frame(queries), 5).collect())) == brute_nearest(rows, queries, 5)
+    for a, q in (([], queries), (rows, []), (rows, [(1, None)]), ([(1, [0.0] * 6)], [(1, [0.0] * 6), (2, [0.0] * 6)])):
+        assert sorted(map(tuple, neighbours.join(frame(a), frame(q), 3).collect())) == brute_nearest(a, q, 3)
