@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import audit, neighbours
+from ..operators.buckets import Buckets
+from ..shared import folder
 from ..sources import cards
+from ..streaming import jobs
 from . import bindings as b
-from .catalogue import _NEAREST, query
+from .catalogue import _NEAREST, _event_stream, query
 
 P, I, M, E = b.PAPERS, b.IDENTIFIERS, b.META, b.EVENTS
 
@@ -68,3 +71,27 @@ def embedding_pivot_join(spark, d):
     """As embedding_cosine_topk, with cells and bounds in place of a broadcast of the queries."""
     v = b.read(spark, d, "embeddings")
     return neighbours.join(v, v.filter("vec_id % 50 = 0"), 10)
+
+
+# ---- keyed tables in buckets -----------------------------------------------------------------------------------------
+
+
+@query(b.sql("select arxiv_id, event, min(id) as id from ev group by all", E))
+def stream_into_buckets(spark, d):
+    """Micro-batches into a table of which each reads its own buckets: the first event of each paper and kind stays."""
+    store = Buckets(spark, folder(spark), "arxiv_id string, event string, id bigint", ["arxiv_id", "event"], 16)
+    stream = _event_stream(spark, d).select("arxiv_id", "event", "id", F.col("id").alias("ordinal"))
+    jobs.into_buckets(stream, store, folder(spark)).awaitTermination()
+    return store.read()
+
+
+@query(b.sql("select o_orderkey as sf_id, case when l.n is null then o_orderstatus else 'late' end as status, coalesce(l.n, 0) as lines, o_orderdate as created_at from orders left join (select l_orderkey, count(*) as n from lineitem where l_orderkey % 97 < 3 group by l_orderkey) l on l_orderkey = o_orderkey union all select -1 - o_orderkey, 'new', 0, null from orders where o_orderkey % 101 = 0"))
+def bucket_upsert(spark, d):
+    """Orders in buckets; papers of late lines replace theirs but for the date, others are inserted: two changes, one after the other."""
+    store = Buckets(spark, folder(spark), "sf_id bigint, status string, lines bigint, created_at timestamp", ["sf_id"], 16)
+    orders = b.read(spark, d, "orders")
+    store.upsert(orders.selectExpr("o_orderkey as sf_id", "o_orderstatus as status", "0L as lines", "cast(o_orderdate as timestamp) as created_at"))
+    late = b.read(spark, d, "lineitem").filter("l_orderkey % 97 < 3").groupBy(F.col("l_orderkey").alias("sf_id")).agg(F.count(F.lit(1)).alias("lines"))
+    store.upsert(late.select("sf_id", F.lit("late").alias("status"), "lines", F.lit(None).cast("timestamp").alias("created_at")), keep=["created_at"])
+    store.upsert(orders.filter("o_orderkey % 101 = 0").selectExpr("-1 - o_orderkey as sf_id", "'new' as status", "0L as lines", "cast(null as timestamp) as created_at"))
+    return store.read().withColumn("created_at", F.col("created_at").cast(dict(orders.dtypes)["o_orderdate"]))

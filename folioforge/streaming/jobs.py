@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.buckets import Buckets
 from ..operators.keyed import new_rows
 
 
@@ -67,6 +68,21 @@ def into_store(stream: DataFrame, read: Callable[[], DataFrame], append: Callabl
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def into_buckets(stream: DataFrame, store: Buckets, checkpoint: str, every: str | None = None, report: Callable[[int, dict], None] | None = None) -> StreamingQuery:
+    """As into_store, into a table in hash buckets: a micro-batch reads the buckets of its own keys alone and adds files to them.
+
+    A batch that runs again finds its keys there and adds nothing. report: gets batch id and what ``Buckets.insert`` tells.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        told = store.insert(batch if "ordinal" in batch.columns else batch.withColumn("ordinal", F.monotonically_increasing_id()))
+        if report:
+            report(batch_id, told)
+
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def harvest(fetch: Callable[[str | None], tuple[DataFrame, str | None] | None], read: Callable[[], DataFrame], append: Callable[[DataFrame], None], keys: Sequence[str] = ("arxiv_id",), most_pages: int = 0, report: Callable[[int, int, int], None] | None = None) -> int:
     """Pages by resumption token: fetch(token) gives a page's rows and the next token; None, no rows or no token ends it.
 
