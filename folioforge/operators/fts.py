@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem as stem_word
 from ..functions.stem import stems
 from ..functions.text import has_category, in_years
-from ..shared import cut, small
+from ..shared import BROADCAST_ROWS, cut, spread
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOKEN = r"[\p{L}\p{N}]+"
+#: A term that makes up more than one in so many occurrences is broadcast.
+HEAVY = 1000
 
 
 @dataclass(frozen=True)
@@ -139,21 +141,28 @@ def tokens(text: Column) -> Column:
 class Index:
     """postings: term, doc, field, tf, places; lengths: doc, length (terms in all columns)."""
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, columns: Sequence[str], stemmed: bool):
-        self.postings, self.lengths, self.columns, self.stemmed = postings, lengths, tuple(columns), stemmed
+    def __init__(self, postings: DataFrame, lengths: DataFrame, columns: Sequence[str], stemmed: bool, saved: bool = False):
+        self.postings, self.lengths, self.columns, self.stemmed, self.saved = postings, lengths, tuple(columns), stemmed, saved
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, columns: Sequence[str] = ("title", "authors", "abstract"), stemmed: bool = True) -> Index:
         """Of deduplicated documents, so a re-imported one is never indexed twice."""
-        split = docs.select(F.col(key).alias("doc"), *(tokens(F.col(c)).alias(c) for c in columns))
+        split = spread(docs.select(key, *columns)).select(F.col(key).alias("doc"), *(tokens(F.col(c)).alias(c) for c in columns))
         lengths = split.select("doc", reduce(lambda a, c: a + F.size(c), columns, F.lit(0)).alias("length"))
         each = split.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in columns))).alias("f"))
         placed = each.select("doc", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term"))
         postings = placed.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-        if stemmed:  # written, or a filter on stems would be pushed below the aggregates and the UDF would see occurrences
-            vocabulary = small(cut(placed.select("term").distinct().withColumn("stem", stems("term"))))
-            same = postings.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term").groupBy("term", "doc", "field")
-            postings = same.agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+        if stemmed:
+            # A row a term, written: a filter on stems then reaches the vocabulary alone, and no occurrence meets the UDF.
+            vocabulary = cut(placed.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stems("term")))
+            stem = [F.col("stem").alias("term"), "doc", "field"]
+            if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+                postings = placed.join(F.broadcast(vocabulary.drop("n")), "term").groupBy(*stem).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+            else:  # stems of frequent terms, a thousand at most, are broadcast; no other term is a heavy key
+                total = vocabulary.agg(F.sum("n")).first()[0]
+                frequent = F.broadcast(vocabulary.filter(F.col("n") * HEAVY > total).drop("n"))
+                both = postings.join(frequent, "term").unionByName(postings.join(frequent.select("term"), "term", "left_anti").join(vocabulary.filter(F.col("n") * HEAVY <= total).drop("n"), "term"))
+                postings = both.groupBy(*stem).agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         return cls(postings, lengths, columns, stemmed)
 
     def save(self, path: str) -> None:
@@ -164,7 +173,7 @@ class Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, columns: Sequence[str] = ("title", "authors", "abstract"), stemmed: bool = True) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), columns, stemmed)
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), columns, stemmed, saved=True)
 
     def _rows(self, atoms: Sequence[Atom]) -> DataFrame:
         words = sorted({t for a in atoms if not a.prefix for t in a.terms})
@@ -211,23 +220,29 @@ class Index:
         """doc and score (BM25, higher is better) of the documents that match."""
         tree = parse(query, self.columns, self.stemmed)
         hits, atoms = self.hits(tree)
-        # One row: how many documents hold each atom, how many there are, and their mean length. Two small jobs on a saved
-        # index; an index that was just built should be saved first if it is asked more than once.
+        if not self.saved:  # a row a document of either is written, so texts are read once for each
+            hits, self.lengths = cut(hits), cut(self.lengths)
+        # One row: how many documents hold each atom, how many there are, and their mean length.
         held = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(atoms))))
         sizes = self.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
         n, size = held.first(), sizes.first()
         docs, mean = size["docs"], float(size["mean"] or 1.0)
         positive = _positive(tree)
 
-        def part(i: int) -> Column:
-            idf = max(math.log((docs - n[i] + 0.5) / (n[i] + 0.5)), IDF_FLOOR)
-            f = F.col(f"f{i}").cast("double")
-            return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
-
-        score = reduce(lambda a, b: a + b, (part(i) for i, a in enumerate(atoms) if a in positive))
+        score = reduce(lambda a, b: a + b, (bm25(F.col(f"f{i}"), F.col("length"), idf(docs, n[i]), mean) for i, a in enumerate(atoms) if a in positive))
         return hits.filter(self.admits(tree, atoms)).join(self.lengths, "doc").select("doc", score.alias("score"))
 
 
+def idf(docs: int, held: int) -> float:
+    return max(math.log((docs - held + 0.5) / (held + 0.5)), IDF_FLOOR)
+
+
+def bm25(frequency: Column, length: Column, weight: float, mean: float) -> Column:
+    """What a term adds to a document's score. It rises with the frequency and falls with the length."""
+    f = frequency.cast("double")
+    return F.lit(weight) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean)))
+
+
 def _positive(tree: Node) -> set[Atom]:
     return {tree.atom} if tree.op == "atom" else _positive(tree.parts[0]) if tree.op == "not" else set().union(*map(_positive, tree.parts))
 
