@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import audit, neighbours
 from ..operators.buckets import Buckets
+from ..operators.segments import Segments
 from ..shared import folder
 from ..sources import cards
 from ..streaming import jobs
 from . import bindings as b
-from .catalogue import _NEAREST, _event_stream, query
+from .catalogue import _FIELDS, _NEAREST, _count, _event_stream, _fts_sql, _scored, query
 
 P, I, M, E = b.PAPERS, b.IDENTIFIERS, b.META, b.EVENTS
 
@@ -95,3 +96,17 @@ def bucket_upsert(spark, d):
     store.upsert(late.select("sf_id", F.lit("late").alias("status"), "lines", F.lit(None).cast("timestamp").alias("created_at")), keep=["created_at"])
     store.upsert(orders.filter("o_orderkey % 101 = 0").selectExpr("-1 - o_orderkey as sf_id", "'new' as status", "0L as lines", "cast(null as timestamp) as created_at"))
     return store.read().withColumn("created_at", F.col("created_at").cast(dict(orders.dtypes)["o_orderdate"]))
+
+
+# ---- an index that grows ---------------------------------------------------------------------------------------------
+
+
+@query(_fts_sql([_count("x = 'der'"), _count("x = 'ein'"), _count("x = 'that'")], "(tf0 > 0 or tf1 > 0) and not tf2 > 0", "order by raw desc, sf_id limit 10", scored=[0, 1]))
+def fts_segments_topk(spark, d):
+    """Three batches, the later ones replacing documents of the earlier, and the ten best by bounds of blocks: as of one index of the last state."""
+    p = b.papers(spark, d)
+    index = Segments(spark, folder(spark), "sf_id", _FIELDS, stemmed=False)
+    index.add(p.filter("sf_id % 3 <> 2").withColumn("abstract", F.concat(F.lit("der ein der ein "), F.substring("abstract", 1, 200))))
+    index.add(p.filter("sf_id % 3 = 0"))
+    index.add(p.filter("sf_id % 3 <> 0"))
+    return _scored(index.search("(der OR ein) NOT that").withColumnRenamed("doc", "sf_id"))
