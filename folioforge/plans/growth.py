@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -9,9 +10,10 @@ from ..operators import audit, neighbours
 from ..operators.buckets import Buckets
 from ..operators.segments import Segments
 from ..shared import folder
-from ..sources import cards
+from ..sources import cards, paging
 from ..streaming import jobs
 from . import bindings as b
+from . import readings
 from .catalogue import _FIELDS, _NEAREST, _count, _event_stream, _fts_sql, _scored, query
 
 P, I, M, E = b.PAPERS, b.IDENTIFIERS, b.META, b.EVENTS
@@ -110,3 +112,27 @@ def fts_segments_topk(spark, d):
     index.add(p.filter("sf_id % 3 = 0"))
     index.add(p.filter("sf_id % 3 <> 0"))
     return _scored(index.search("(der OR ein) NOT that").withColumnRenamed("doc", "sf_id"))
+
+
+# ---- pages of a service ----------------------------------------------------------------------------------------------
+
+
+@query(readings.sql("select arxiv_id, t as title, a as abstract, update_date from (select arxiv_id, trim(t) as t, trim(substring(a, 1, 400)) as a, update_date from clean) where t <> ''"))
+def stream_paged_harvest(spark, d):
+    """Pages of a hundred records each, followed by their tokens into a table in buckets: one micro-batch, then a restart from the checkpoint for the rest."""
+    c = readings._clean(spark, d).withColumn("page", F.expr("sf_id div 100"))
+    element = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    meta = F.concat(element("id", F.col("arxiv_id")), element("title", F.col("t")), element("abstract", F.substring("a", 1, 400)), element("updated", F.col("update_date")))
+    record = F.concat(F.lit("<record>"), element("header", element("datestamp", F.col("update_date"))), element("metadata", element("arXiv", meta)), F.lit("</record>"))
+    pages = c.groupBy("page").agg(F.concat_ws("", F.collect_list(record)).alias("records"))  # a hundred records at most
+    following = pages.select("page").withColumn("token", F.lead("page").over(Window.orderBy("page")))  # a row a page
+    told = pages.join(following, "page").select("page", F.concat(F.lit('<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords>'), "records", F.coalesce(element("resumptionToken", F.col("token").cast("string")), F.lit("")), F.lit("</ListRecords></OAI-PMH>")).alias("value"))
+    root, checkpoint = folder(spark), folder(spark)
+    told.write.partitionBy("page").text(root)
+    store = Buckets(spark, folder(spark), "arxiv_id string, title string, abstract string, update_date string", ["arxiv_id"], 16)
+    start = lambda **how: jobs.into_buckets(paging.oai_records(paging.stream(spark, paging.FolderPages(root), most=3)).select("arxiv_id", "title", "abstract", "update_date"), store, checkpoint, **how)
+    start().awaitTermination()
+    rest = start(every="0 seconds")
+    rest.processAllAvailable()
+    rest.stop()
+    return store.read()

@@ -57,7 +57,11 @@ OAI_RECORD = """header struct<_status: string, identifier: string, status: strin
 
 def oai_records(spark: SparkSession, path: str) -> DataFrame:
     """Pages of OAI-PMH records. Deleted ones, old-style identifiers and records without title go; all text is clipped to 500."""
-    raw = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).schema(OAI_RECORD).load(path)
+    return oai_rows(spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).schema(OAI_RECORD).load(path))
+
+
+def oai_rows(raw: DataFrame) -> DataFrame:
+    """Records as parsed (header, metadata) to rows of metadata."""
     m = "metadata.arXiv"
     el = lambda c: tx.clip(F.trim(_text(f"{m}.{c}")), 500)
     rows = raw.filter(F.col("metadata").isNotNull() & (F.coalesce("header._status", "header.status", F.lit("")) != "deleted"))
