@@ -1,7 +1,8 @@
 """Services that answer in pages, as a streaming source: an offset is the token of the next page, how many pages there were, and the
 date from which to ask again when a list has ended. A checkpoint therefore resumes in the middle of a list.
 
-The driver follows the tokens (a page is asked for its token and nothing of it is kept); tasks fetch the pages, one each, so
+The driver follows the tokens (a page is asked for its token, and nothing of it is kept but a sum of hashes of the latest date's records,
+by which a list that has ended is known to be unchanged); tasks fetch the pages, one each, so
 only executors hold their rows. A page that is fetched again after a failure gives the same rows as long as the service does.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from .readers import OAI_RECORD, oai_rows
 
 _TOKEN = re.compile(r"<resumptionToken[^>]*>\s*([^<\s][^<]*?)\s*</resumptionToken>")
+_RECORD = re.compile(r"<record[\s>].*?</record>", re.S)
 _DATE = re.compile(r"<datestamp>\s*(\d{4}-\d\d-\d\d)")
 SCHEMA = "page bigint, token string, payload string"
 
@@ -88,29 +90,48 @@ class PageReader(DataSourceStreamReader):
         self.chain: dict[int, tuple[str, str, dict]] = {}  # of each page: how it is asked for, and the offset behind it
 
     def initialOffset(self) -> dict:
-        return {"page": 0, "token": "", "since": self.since, "latest": self.since, "seen": ""}
+        return {"page": 0, "token": "", "since": self.since, "latest": self.since, "sum": ""}
+
+    def _read(self, at: dict) -> tuple[str, str, str, str, bool]:
+        """How the page at an offset is asked for (token), the next token, and the latest date with the sum of its records' hashes so far."""
+        token, text = at["token"], self.pages.fetch(at["token"], at["since"])
+        if token and "badResumptionToken" in text:  # the list has expired: it is asked for anew from its date
+            token, text = "", self.pages.fetch("", at["since"])
+        latest, total = (at["latest"], int(at["sum"] or "0", 16)) if token else (at["since"], 0)
+        records = _RECORD.findall(text)
+        for r in records:
+            date = m[1] if (m := _DATE.search(r)) else ""
+            if date > latest:
+                latest, total = date, 0
+            if date == latest:
+                total = (total + int(hashlib.md5(r.encode()).hexdigest(), 16)) % (1 << 128)
+        return token, m[1] if records and (m := _TOKEN.search(text)) else "", latest, f"{total:x}", bool(records)
 
     def _after(self, at: dict) -> dict:
-        """The offset behind the page that begins at one; the same offset where there's nothing new."""
-        text = self.pages.fetch(at["token"], at["since"])
-        if at["token"] and "badResumptionToken" in text:  # the list has expired: it is asked for anew from its date
-            at = at | {"token": ""}
-            text = self.pages.fetch("", at["since"])
-        begin, end = text.find("<record"), text.rfind("</record>")
-        if begin < 0:
+        """The offset behind the page that begins at one; the same page where there's none."""
+        token, following, latest, total, any_of = self._read(at)
+        if not any_of:
             return at | {"token": ""}
-        seen = hashlib.md5(text[begin:end].encode()).hexdigest()
-        token = m[1] if (m := _TOKEN.search(text)) else ""
-        if not token and not at["token"] and seen == at["seen"]:
-            return at  # the day's list again, unchanged
-        latest = max([at["latest"], *_DATE.findall(text)])
         # Within a list the date it was asked with stays; when it ends the next one is asked from the latest date told.
-        after = {"page": at["page"] + 1, "token": token, "since": at["since"] if token else latest, "latest": latest, "seen": "" if token else seen}
-        self.chain[at["page"]] = (at["token"], at["since"], after)
+        after = {"page": at["page"] + 1, "token": following, "since": at["since"] if following else latest, "latest": latest, "sum": total}
+        self.chain[at["page"]] = (token, at["since"], after)
         return after
 
+    def _news(self, at: dict) -> bool:
+        """Whether the list of the latest date has changed since its end. A date's records are listed again with its later ones."""
+        probe = at
+        while True:
+            _, token, latest, total, any_of = self._read(probe)
+            if not any_of and probe is at:
+                return False
+            probe = probe | {"token": token, "latest": latest, "sum": total}
+            if not token:
+                return (latest, total) != (at["latest"], at["sum"])
+
     def latestOffset(self) -> dict:
         self.at = self.at or self.initialOffset()
+        if self.at["page"] and not self.at["token"] and not self._news(self.at):
+            return self.at
         for _ in range(self.most):
             after = self._after(self.at)
             if after["page"] == self.at["page"]:
