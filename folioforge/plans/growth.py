@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, neighbours
+from ..operators import audit, dedup, known, neighbours
 from ..operators.buckets import Buckets
 from ..operators.segments import Segments
 from ..shared import folder
@@ -16,7 +16,7 @@ from . import bindings as b
 from . import readings
 from .catalogue import _FIELDS, _NEAREST, _count, _event_stream, _fts_sql, _scored, query
 
-P, I, M, E = b.PAPERS, b.IDENTIFIERS, b.META, b.EVENTS
+P, I, M, R, E = b.PAPERS, b.IDENTIFIERS, b.META, b.RESULTS, b.EVENTS
 
 # ---- cards of a page -------------------------------------------------------------------------------------------------
 
@@ -136,3 +136,14 @@ def stream_paged_harvest(spark, d):
     rest.processAllAvailable()
     rest.stop()
     return store.read()
+
+
+# ---- known ids -------------------------------------------------------------------------------------------------------
+
+
+@query(b.sql("select distinct arxiv_id from results where arxiv_id not in (select arxiv_id from meta where lang = 'en') and arxiv_id not in (select arxiv_id from meta where doi <> '')", P, I, M, R))
+def known_id_filter(spark, d):
+    """As known_id_anti_join, by the way for many rows on either side: only what a Bloom filter passes is shuffled."""
+    m = b.with_doi(spark, d)
+    ids = m.filter("lang = 'en'").select("arxiv_id").unionByName(m.filter("doi <> ''").select("arxiv_id"))
+    return known.exclude(dedup.session_dedup(b.results(spark, d)), ids, few=0).select("arxiv_id")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioforge.functions.similarity import citation_score
-from folioforge.operators import audit, matching, neighbours
+from folioforge.operators import audit, known, matching, neighbours
 
 
 def plan(df):
@@ -77,3 +77,22 @@ def test_nearest_by_pivots(spark, monkeypatch):
     assert sorted(map(tuple, matching.nearest(frame(rows), frame(queries), 5).collect())) == brute_nearest(rows, queries, 5)
     for a, q in (([], queries), (rows, []), (rows, [(1, None)]), ([(1, [0.0] * 6)], [(1, [0.0] * 6), (2, [0.0] * 6)])):
         assert sorted(map(tuple, neighbours.join(frame(a), frame(q), 3).collect())) == brute_nearest(a, q, 3)
+
+
+def test_known_ids_are_excluded_whatever_is_large(spark):
+    candidates = spark.range(30_000).selectExpr("case when id % 100 = 0 then null when id % 3 = 0 then 'a7' else concat('a', id) end as arxiv_id", "id as v", "true as maybe")
+    ids = spark.range(20_000).selectExpr("case when id % 50 = 0 then null else concat('a', id * 3 % 20011) end as arxiv_id")
+    have = {r[0] for r in ids.collect()} - {None}
+    want = sorted((r.v, r.arxiv_id) for r in candidates.collect() if r.arxiv_id not in have)
+    told = {}
+    for few, most in ((0, 1 << 26), (25_000, 1 << 26), (40_000, 1 << 26), (0, 1 << 10)):
+        got = known.exclude(candidates, ids, few=few, most_bytes=most, report=lambda *a: told.setdefault(a[0], a[1:]))
+        assert got.columns == candidates.columns and sorted((r.v, r.arxiv_id) for r in got.collect()) == want
+    assert set(told) == {"filter", "known", "candidates", "join"}
+    shuffled, of, rate = told["filter"]
+    hits = sum(r.arxiv_id in have for r in candidates.collect())
+    assert of == 30_000 and rate <= 0.01 and hits <= shuffled <= hits + 0.03 * of
+    for a, b in ((candidates.limit(0), ids), (candidates, ids.limit(0))):
+        for few in (0, 10**6):
+            assert known.exclude(a, b, few=few).count() == a.count()
+    assert known.Shape.of(10**9, 0.01).rate > known.Shape.of(10**6, 0.01).rate
