@@ -123,3 +123,31 @@ def test_index_against_all_pairs():
             a, b = root(own, i), root(own, j)
             own[max(a, b)] = min(a, b)
         assert [root(own, i) for i in range(200)] == [root(label, i) for i in range(200)]
+
+
+def test_texts_with_a_common_part(spark, monkeypatch):
+    """Forms: two thirds of every text are the same, so all meet in bands, but few are copies. What is sent grows with their number."""
+    rng = np.random.default_rng(8)
+    form = [f"form{i}" for i in range(200)]
+    own = lambda: [f"own{x}" for x in rng.integers(0, 10**6, 100)]
+    sent = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda members, texts: (sent.append(members.count()), verified(members, texts))[1])
+    counts = {}
+    for n in (400, 800):
+        texts = [" ".join(form + own()) for _ in range(n)]
+        texts += [t.replace("form7 ", "changed ") for t in texts[:: n // 20]]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        sent.clear()
+        assert kept(df, chunk=64) == sorted(range(n), key=repr)
+        counts[n] = sum(sent) / len(texts)
+    assert max(counts.values()) < 6  # rows a text; all against all in chunks would be 13 a band
+
+
+def test_places_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BYTES", 3000)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w if rng.random() > 0.004 else "x" for w in base) for _ in range(60)] + ["long " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert kept(df) == brute_kept([(r.doc_id, r.text) for r in df.collect()])
