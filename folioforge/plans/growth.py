@@ -10,7 +10,7 @@ from ..operators import audit, dedup, known, neighbours
 from ..operators.buckets import Buckets
 from ..operators.segments import Segments
 from ..shared import folder
-from ..sources import cards, paging
+from ..sources import cards, paging, readers
 from ..streaming import jobs
 from . import bindings as b
 from . import readings
@@ -147,3 +147,36 @@ def known_id_filter(spark, d):
     m = b.with_doi(spark, d)
     ids = m.filter("lang = 'en'").select("arxiv_id").unionByName(m.filter("doi <> ''").select("arxiv_id"))
     return known.exclude(dedup.session_dedup(b.results(spark, d)), ids, few=0).select("arxiv_id")
+
+
+# ---- archives --------------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, md5(text) as md5 from documents where text is not null")
+def archive_unpack(spark, d):
+    """Archives of two hundred documents each, written by tasks; their members are listed and unpacked, a task each."""
+    root = folder(spark)
+
+    def zipped(batch):
+        import io
+        import json
+        import zipfile
+
+        from pyarrow import fs
+
+        made, number = io.BytesIO(), int(batch["number"].iloc[0])
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for part in (0, 1):
+                z.writestr(f"deep/part{part}.jsonl", "".join(json.dumps({"doc_id": int(i), "text": t}) + "\n" for i, t in zip(batch["doc_id"], batch["text"], strict=True) if i % 2 == part))
+            z.writestr("notes.txt", "none")
+        store, at = fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+        store.create_dir(at)
+        with store.open_output_stream(f"{at}/{number}.zip") as out:
+            out.write(made.getvalue())
+        return batch[["number"]][:1]
+
+    docs = b.read(spark, d, "documents").filter("text is not null").select("doc_id", "text", F.expr("doc_id div 200").alias("number"))
+    docs.groupBy("number").applyInPandas(zipped, "number bigint").count()
+    members = readers.archive_members(spark, root).filter("member like '%.jsonl'")
+    lines = readers.member_lines(members).select(F.from_json("value", "doc_id bigint, text string").alias("r"))
+    return lines.select("r.doc_id", F.md5(F.col("r.text").cast("binary")).alias("md5"))

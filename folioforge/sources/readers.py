@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -221,37 +221,47 @@ def jsonl_info(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.lit(True).alias("exists"), "size_mb", F.lit(spark.read.text(path).count()).alias("lines"))
 
 
-def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the lines of a downloaded dump below a folder. Of its kinds, also those within zip archives, JSON lines come before JSON, and
-    these before gzipped ones; of the first kind there is, the first file by name is read, a member of an archive as a stream.
+#: Kinds of a dump in the order in which they are looked for.
+KINDS = (".jsonl", ".json", ".jsonl.gz", ".json.gz")
+#: Bytes of a line block that a task holds at once.
+BLOCK_BYTES = 1 << 20
+#: Tasks that members are dealt to at most; up to as many members have one each.
+MOST_TASKS = 100_000
+
+
+def _opened(path: str):
+    """A file for reading by ranges: nothing of it is read that isn't asked for."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    return store.open_input_file(at)
 
-    An archive is one file, so one task unpacks it; what it gives is dealt out again by the next shuffle. No such file is an error.
-    """
-    kinds = (".jsonl", ".json", ".jsonl.gz", ".json.gz")
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """path, member, bytes (unpacked), of the zip archives below a folder. Only their directories are read, a task for each archive."""
 
     def listed(batches):
-        import io
         import zipfile
 
         import pandas as pd
 
         for part in batches:
-            for p, content in zip(part["path"], part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    yield pd.DataFrame([(p, n) for n in z.namelist()], columns=["path", "member"])
+            for p in part["path"]:
+                with _opened(p) as raw, zipfile.ZipFile(raw) as z:
+                    yield pd.DataFrame([(p, i.filename, i.file_size) for i in z.infolist() if not i.is_dir()], columns=["path", "member", "bytes"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path).select("path")
+    return files.mapInPandas(listed, "path string, member string, bytes bigint")
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    plain = files.select("path").filter("not path like '%.zip'").withColumn("member", F.lit("").cast("string"))
-    zipped = files.filter("path like '%.zip'").select("path", "content").mapInPandas(listed, "path string, member string")
-    name = F.lower(F.when(F.col("member") == "", F.col("path")).otherwise(F.col("member")))
-    rank = F.coalesce(*(F.when(name.endswith(k), i) for i, k in enumerate(kinds)))
-    found = plain.unionByName(zipped).withColumn("rank", rank).filter("rank is not null").orderBy("rank", "path", "member").first()
-    if found is None:
-        raise FileNotFoundError(f"no JSON lines below {path}")
-    if not found["member"]:
-        return spark.read.text(found["path"])
 
-    def unpacked(batches, member=found["member"]):
+def member_lines(members: DataFrame) -> DataFrame:
+    """path, member, value: the lines of members (path, member), each unpacked as a stream by a task of its own.
+
+    A task reads its member's range of the archive and holds a block of lines. A member is one stream, however large, so
+    one task unpacks it; many members are as many tasks. Gzipped members are unpacked twice.
+    """
+
+    def unpacked(batches):
         import gzip
         import io
         import zipfile
@@ -259,13 +269,33 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for part in batches:
-            for content in part["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
-                    lines = io.TextIOWrapper(gzip.open(raw) if member.endswith(".gz") else raw, encoding="utf-8", newline="\n")
-                    while some := lines.readlines(1 << 20):
-                        yield pd.DataFrame({"value": [x.rstrip("\r\n") for x in some]})
+            for p, name in zip(part["path"], part["member"], strict=True):
+                with _opened(p) as file, zipfile.ZipFile(file) as z, z.open(name) as raw:
+                    lines = io.TextIOWrapper(gzip.open(raw) if name.lower().endswith(".gz") else raw, encoding="utf-8", newline="\n")
+                    while some := lines.readlines(BLOCK_BYTES):
+                        yield pd.DataFrame({"path": p, "member": name, "value": [x.rstrip("\r\n") for x in some]})
+
+    numbered = members.select("path", "member").withColumn("__at", F.row_number().over(Window.orderBy("path", "member")) - 1)  # names only
+    n = max(1, min(members.count(), MOST_TASKS))
+    return numbered.repartitionById(n, F.pmod("__at", F.lit(n)).cast("int")).mapInPandas(unpacked, "path string, member string, value string")
+
 
-    return spark.read.format("binaryFile").load(found["path"]).select("content").mapInPandas(unpacked, "value string")
+def archive_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of a downloaded dump below a folder. Of its kinds, also those within zip archives, JSON lines come before JSON, and
+    these before gzipped ones; of the first kind there is, the first file by name is read, a member of an archive as a stream of
+    its range. No such file is an error.
+    """
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").filter("not path like '%.zip'").withColumn("member", F.lit("").cast("string"))
+    zipped = archive_members(spark, path).select("path", "member")
+    name = F.lower(F.when(F.col("member") == "", F.col("path")).otherwise(F.col("member")))
+    rank = F.coalesce(*(F.when(name.endswith(k), i) for i, k in enumerate(KINDS)))
+    found = plain.unionByName(zipped).withColumn("rank", rank).filter("rank is not null").orderBy("rank", "path", "member").limit(1).collect()
+    if not found:
+        raise FileNotFoundError(f"no JSON lines below {path}")
+    (one,) = found
+    if not one["member"]:
+        return spark.read.text(one["path"])
+    return member_lines(spark.createDataFrame([(one["path"], one["member"])], "path string, member string")).select("value")
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:

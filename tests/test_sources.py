@@ -146,6 +146,27 @@ def test_archives(spark, tmp_path):
     assert lines() == ['{"id":"é"}']
 
 
+def test_members_are_unpacked_by_tasks_of_their_own(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    (tmp_path / "x/deep").mkdir(parents=True)
+    for n in range(3):
+        with zipfile.ZipFile(tmp_path / f"x/deep/{n}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for m in range(4):
+                z.writestr(f"m{m}.jsonl", "".join(f"{n}-{m}-{i}\n" for i in range(1000)))
+            z.writestr("empty.jsonl", "")
+    members = readers.archive_members(spark, str(tmp_path / "x"))
+    assert members.count() == 15 and {r.bytes for r in members.collect()} == {0, 7890}
+    lines = readers.member_lines(members)
+    assert sorted(r.value for r in lines.collect()) == sorted(f"{n}-{m}-{i}" for n in range(3) for m in range(4) for i in range(1000))
+    of = {}
+    for r in lines.select(F.spark_partition_id().alias("task"), "path", "member").distinct().collect():
+        of.setdefault(r.task, set()).add((r.path, r.member))
+    assert len(of) == 12 and all(len(x) == 1 for x in of.values())
+    monkeypatch.setattr(readers, "MOST_TASKS", 2)
+    assert readers.member_lines(members).count() == 12_000 and readers.member_lines(members.limit(0)).count() == 0
+
+
 def test_harvest_by_token(spark):
     """Pages until no token is given; known rows are skipped; most_pages stops early."""
     pages = {None: (["a", "b"], "t1"), "t1": (["b", "c"], "t2"), "t2": (["c", "d"], None), "t3": ([], None)}
