@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key, by partial aggregation of one struct: a hot key is one row a task before the shuffle."""
@@ -48,6 +50,20 @@ def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(F.struct(F.col(order).alias("__order"), *others)).alias("__m")).select(*(F.col(key) if c == key else F.col(f"__m.`{c}`").alias(c) for c in df.columns))
 
 
+def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """df with each row's place from 1 in the whole order. A distributed sort gives its place in a partition, the partitions' sizes the
+    rest; the sorted rows are written, so both readings see the same partitions."""
+    within = F.lit((1 << 33) - 1)  # what monotonically_increasing_id counts within a partition
+    rows = cut(df.sort(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before, starts = 0, []
+    for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition
+        starts.append((r["part"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "__part bigint, __before bigint")
+    return rows.join(F.broadcast(offsets), part == F.col("__part")).withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(within) + 1).drop("__at", "__part", "__before")
+
+
 def publish(df: DataFrame, root: str, spark: SparkSession | None = None) -> str:
     """Writes a new version below root and points to it; earlier versions stay for readers that still use them."""
     import uuid

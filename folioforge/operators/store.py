@@ -168,16 +168,18 @@ def set_status(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def library_entries(payload: DataFrame) -> DataFrame:
-    """payload: rows with the JSON text of {"papers": {id: {...}}}. ordinal, arxiv_id and the JSON of each entry."""
-    return payload.select(F.posexplode(F.map_entries(F.from_json(F.get_json_object("json", "$.papers"), "map<string,string>"))).alias("ordinal", "e")).select("ordinal", F.col("e.key").alias("arxiv_id"), F.col("e.value").alias("paper"))
+    """payload: rows with the JSON text of {"papers": {id: {...}}}, and ``file`` where there are several. file, ordinal, arxiv_id and the
+    JSON of each entry."""
+    file = F.col("file") if "file" in payload.columns else F.lit(0)
+    return payload.select(file.alias("file"), F.posexplode(F.map_entries(F.from_json(F.get_json_object("json", "$.papers"), "map<string,string>"))).alias("ordinal", "e")).select("file", "ordinal", F.col("e.key").alias("arxiv_id"), F.col("e.value").alias("paper"))
 
 
 def list_library(payload: DataFrame, newest: int = 20, category: str = "") -> DataFrame:
-    """The last ``newest`` entries, last first; of a category, those whose categories contain it in any case."""
+    """The last ``newest`` entries of the last files, last first; of a category, those whose categories contain it in any case."""
     each = library_entries(payload)
     if category:
         each = each.filter(F.lower(F.get_json_object("paper", "$.categories")).contains(category.lower()))
-    return each.orderBy(F.desc("ordinal")).limit(newest)
+    return each.orderBy(F.desc("file"), F.desc("ordinal")).limit(newest)
 
 
 def library_info(payload: DataFrame, arxiv_id: str) -> DataFrame:

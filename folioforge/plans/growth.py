@@ -66,6 +66,15 @@ def citation_best_three(spark, d):
     return audit.check_citations(cites, p.select(F.col("sf_id").alias("doc_id"), "title", "abstract", "authors", "update_date"), columns=("title",)).select("cite_id", "doc_id", "score", "status")
 
 
+@query(b.sql("select cite_id, case when s0 >= s1 then 0 else 1 end as ordinal, greatest(s0, s1) as sim from (select sf_id as cite_id, greatest(0.7::double, 2.0::double * len(t) / (2 * len(t) + 18)) as s0, greatest(0.7::double, 2.0::double * len(w) / (len(t) + len(w))) as s1 from (select sf_id, t, array_to_string(string_split(t, ' ')[1:9], ' ') as w from plain where t <> ''))", P, _WANTED))
+def title_ratio_longer_shorter(spark, d):
+    """Every title against an answer with further words and one of its first nine words: below 0.7, an answer within or around the title counts as 0.7."""
+    wanted = b.papers(spark, d).select(F.col("sf_id").alias("cite_id"), F.concat_ws(" ", audit.title_tokens(F.col("title"))).alias("t")).filter("t <> ''")
+    longer = wanted.select("cite_id", F.lit(0).alias("ordinal"), F.concat(F.lit("  "), "t", F.lit(", and further words!")).alias("title"))
+    shorter = wanted.select("cite_id", F.lit(1).alias("ordinal"), F.array_join(F.slice(F.split("t", " "), 1, 9), "  ").alias("title"))
+    return audit.remote_matches(wanted.withColumnRenamed("t", "title"), longer.unionByName(shorter)).select("cite_id", "ordinal", "sim")
+
+
 # ---- nearest vectors -------------------------------------------------------------------------------------------------
 
 

@@ -43,15 +43,23 @@ def _pages(rows: DataFrame, record: Column, root: str) -> str:
     return path
 
 
-def _touch(spark: SparkSession, files: dict[str, str]) -> str:
-    """A few small files of given names in a folder that all executors see."""
-    path, jvm = folder(spark), spark._jvm
-    for name, content in files.items():
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
-        out.write(bytearray(content.encode()))
-        out.close()
-    return path
+def _files(rows: DataFrame) -> str:
+    """Files written by tasks into a folder that all executors see. rows: name, content."""
+    root = folder(rows.sparkSession)
+
+    def put(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+        store.create_dir(at)
+        for part in batches:
+            for name, content in zip(part["name"], part["content"], strict=True):
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(content.encode())
+            yield part[["name"]][:0]
+
+    rows.select("name", "content").mapInPandas(put, "name string").count()
+    return root
 
 
 def sql(body: str, *parts: str) -> str:
@@ -171,19 +179,20 @@ def read_github_repositories(spark, d):
     return matching.search_repositories(c.select("arxiv_id", F.col("t").alias("title")), repos).select("arxiv_id", "code_url", "level")
 
 
-@query("select r_name as arxiv_id, md5(r_comment) as md5, cast(len(r_comment) as bigint) as length from region".replace("r_comment", "('text of ' || r_name)"))
+@query(sql("select arxiv_id, md5('text of ' || t) as md5, cast(length('text of ' || t) as bigint) as length from clean"))
 def files_stems_and_checksums(spark, d):
-    """Stems and checksums of a folder of files of two kinds."""
-    names = sorted(r[0] for r in b.read(spark, d, "region").select("r_name").collect())  # a fixed dimension
-    path = _touch(spark, {f"{n}.pdf": f"text of {n}" for n in names} | {f"{n}.md": "x" for n in names})
+    """Stems and checksums of a folder of files of two kinds, one of either for each document."""
+    c = _clean(spark, d)
+    path = _files(c.select(F.concat("arxiv_id", F.lit(".pdf")).alias("name"), F.concat(F.lit("text of "), "t").alias("content")).unionByName(c.select(F.concat("arxiv_id", F.lit(".md")).alias("name"), F.lit("x").alias("content"))))
     sums = readers.file_checksums(spark, path).withColumn("arxiv_id", F.regexp_extract("path", r"([^/]+)\.pdf$", 1))
     return readers.file_stems(spark, path).join(sums, "arxiv_id").select("arxiv_id", "md5", "length")
 
 
-@query("select lower(r_name) as source, case when r_regionkey = 0 then 'parse_error' else 'done' end as status, case when r_regionkey = 0 then 0 else r_regionkey * 10 end as total_new from region")
+@query(sql("select 's' || cast(sf_id as varchar) as source, case when sf_id % 7 = 0 then 'parse_error' else 'done' end as status, case when sf_id % 7 = 0 then 0 else sf_id * 10 end as total_new from clean"))
 def state_file_scan(spark, d):
-    rows = b.read(spark, d, "region").select("r_regionkey", "r_name").collect()  # a fixed dimension
-    path = _touch(spark, {f"{r.r_name.lower()}_download_state.json": "{broken" if r.r_regionkey == 0 else f'{{"status": "done", "total_new": {r.r_regionkey * 10}}}' for r in rows})
+    """A state file for each document, every seventh of them broken."""
+    good = F.to_json(F.struct(F.lit("done").alias("status"), (F.col("sf_id") * 10).alias("total_new")))
+    path = _files(b.papers(spark, d).select(F.concat(F.lit("s"), F.col("sf_id").cast("string"), F.lit("_download_state.json")).alias("name"), F.when(F.col("sf_id") % 7 == 0, F.lit("{broken")).otherwise(good).alias("content")))
     return readers.state_files(spark, path).select("source", F.substring_index("status", ":", 1).alias("status"), "total_new")
 
 
@@ -192,38 +201,41 @@ def jsonl_info_lines(spark, d):
     return readers.jsonl_info(spark, _written(b.read(spark, d, "documents"), F.to_json(F.struct("doc_id", "text")))).select("exists", "lines")
 
 
-@query(sql("select arxiv_id, substring(title, 1, 10) as title, substring(abstract, 1, 300) as abstract, relevance from clean order by relevance desc, arxiv_id limit 100"))
+@query(sql("select arxiv_id, substring(title, 1, 10) as title, substring(abstract, 1, 300) as abstract, cast(relevance as integer) as relevance, row_number() over (order by relevance desc, arxiv_id) as rank from clean"))
 def candidate_list_order(spark, d):
-    """The best hundred of a written list, read again."""
+    """A written list, read again with the places that it was written in."""
     path = folder(spark)
     sinks.write_candidates(_clean(spark, d).select("arxiv_id", F.substring("title", 1, 10).alias("title"), "abstract", "relevance"), path, "20240101")
-    return spark.read.schema("arxiv_id string, title string, abstract string, relevance bigint").json(f"{path}/candidates_latest").orderBy(F.desc("relevance"), "arxiv_id").limit(100)
-
-
-_LIBRARY = "lib as (select n_name as arxiv_id, n_regionkey, n_nationkey, row_number() over (order by n_name) as pos from nation)"
+    return readers.candidates(spark, f"{path}/candidates_latest", lines=True).select("arxiv_id", "title", "abstract", "relevance", "rank")
 
 
 def _library(spark: SparkSession, d: str) -> DataFrame:
-    """One library file: a map of a fixed dimension's entries, in order of name."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("key"), F.struct(F.concat(F.lit("Title of "), "n_name").alias("title"), F.array(F.concat(F.lit("Region"), F.col("n_regionkey").cast("string"))).alias("categories")).alias("value"))))
-    return b.read(spark, d, "nation").agg(F.to_json(F.struct(F.map_from_entries(entries).alias("papers"), F.lit("2024-05-06").alias("crawl_date"))).alias("json"))
+    """Library files of up to five hundred papers each, in order of their ids."""
+    value = F.struct(F.col("t").alias("title"), F.array(F.concat(F.lit("In "), "source"), "lang").alias("categories"))
+    entry = F.struct("sf_id", F.col("arxiv_id").alias("key"), value.alias("value"))
+    files = _clean(spark, d).groupBy(F.expr("sf_id div 500").alias("file")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    papers = F.map_from_entries(F.transform("e", lambda x: F.struct(x["key"], x["value"])))
+    return files.select("file", F.to_json(F.struct(papers.alias("papers"), F.concat(F.lit("2024-05-"), F.lpad((F.col("file") % 28 + 1).cast("string"), 2, "0")).alias("crawl_date"))).alias("json"))
 
 
-@query(b.sql("select arxiv_id, 'Title of ' || arxiv_id as title from lib where n_regionkey = 2 order by pos desc limit 3", _LIBRARY))
+@query(sql("select arxiv_id, t as title from clean where contains(lower(source), 'src1') order by sf_id desc limit 30"))
 def library_list(spark, d):
-    """The newest three of a category."""
-    return store.list_library(_library(spark, d), 3, "region2").select("arxiv_id", F.get_json_object("paper", "$.title").alias("title"))
+    """The newest thirty of a category."""
+    return store.list_library(_library(spark, d), 30, "In SRC1").select("arxiv_id", F.get_json_object("paper", "$.title").alias("title"))
 
 
-@query("select 'FRANCE' as arxiv_id, 'Title of FRANCE' as title from nation where n_name = 'FRANCE'")
+@query(sql("select arxiv_id, t as title from clean where arxiv_id = '2001.00007'"))
 def library_info(spark, d):
-    return store.library_info(_library(spark, d), "FRANCE").select("arxiv_id", F.get_json_object("paper", "$.title").alias("title"))
+    """A paper that the library has, and one that it hasn't."""
+    found = store.library_info(_library(spark, d), "2001.00007").unionByName(store.library_info(_library(spark, d), "0000.00000"))
+    return found.select("arxiv_id", F.get_json_object("paper", "$.title").alias("title"))
 
 
-@query("select count(*) as total_papers, (select count(*) from region) as pdf_files, (select count(*) from region where r_name <> 'ASIA') as md_files, '2024-05-06' as crawl_date from nation")
+@query(sql("select count(*) as total_papers, count(*) as pdf_files, count(*) filter (where lang = 'en') as md_files, '2024-05-' || lpad(cast(max((sf_id // 500) % 28) + 1 as varchar), 2, '0') as crawl_date from clean"))
 def system_stats(spark, d):
-    names = [r[0] for r in b.read(spark, d, "region").select("r_name").collect()]  # a fixed dimension
-    path = _touch(spark, {f"{n}.pdf": "x" for n in names} | {f"{n}.md": "x" for n in names if n != "ASIA"})
+    p = b.papers(spark, d)
+    made = lambda rows, kind: rows.select(F.concat("arxiv_id", F.lit(kind)).alias("name"), F.lit("x").alias("content"))
+    path = _files(made(p, ".pdf").unionByName(made(p.filter("lang = 'en'"), ".md")))
     return store.system_stats(_library(spark, d), readers.file_stems(spark, path), readers.file_stems(spark, path, ".md"))
 
 

@@ -298,16 +298,17 @@ def archive_lines(spark: SparkSession, path: str) -> DataFrame:
     return member_lines(spark.createDataFrame([(one["path"], one["member"])], "path string, member string")).select("value")
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of candidate papers; missing fields get defaults, a missing file is an empty table."""
-    schema = "arxiv_id string, title string, abstract string, categories array<string>, source string, url string, code_url string, relevance int, md5_abstract string"
+def candidates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON array of candidate papers, or the lines that ``sinks.write_candidates`` gives, with their rank; missing fields get defaults, a
+    missing file is an empty table."""
+    schema = "arxiv_id string, title string, abstract string, categories array<string>, source string, url string, code_url string, relevance int, md5_abstract string" + ", rank bigint" * lines
     try:
-        raw = spark.read.schema(schema).option("multiLine", True).json(path)
+        raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         raw = spark.createDataFrame([], schema)
-    return raw.select(*(F.coalesce(c, F.lit(0)).alias(c) if c == "relevance" else F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "categories" else _text(c).alias(c) for c in raw.columns))
+    return raw.select(*(F.coalesce(c, F.lit(0)).alias(c) if c in ("relevance", "rank") else F.coalesce(c, F.array().cast("array<string>")).alias(c) if c == "categories" else _text(c).alias(c) for c in raw.columns))
 
 
 def setting(config: Mapping, dotted: str, default=None):
