@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, dedup, known, neighbours
+from ..operators import audit, dedup, fts, known, neighbours
 from ..operators.buckets import Buckets
 from ..operators.segments import Segments
 from ..shared import folder
@@ -189,3 +189,37 @@ def archive_unpack(spark, d):
     members = readers.archive_members(spark, root).filter("member like '%.jsonl'")
     lines = readers.member_lines(members).select(F.from_json("value", "doc_id bigint, text string").alias("r"))
     return lines.select("r.doc_id", F.md5(F.col("r.text").cast("binary")).alias("md5"))
+
+
+# ---- columns of a search, chains of items, reports -------------------------------------------------------------------
+
+
+@query(_fts_sql(["len(list_filter(t0, lambda x: x = 'der'))", "len(list_filter(t1, lambda x: x = 'src1'))", _count("x = 'that'")], "(tf0 > 0 or tf1 > 0) and not tf2 > 0", "", scored=[0, 1]))
+def fts_column_filter(spark, d):
+    """A term in titles or one in authors, in documents without a third in any column."""
+    index = fts.Index.build(b.papers(spark, d), "sf_id", _FIELDS, stemmed=False)
+    return index.match("(title:der OR authors:src1) NOT that").select(F.col("doc").alias("sf_id"), F.round("score", 6).alias("score"))
+
+
+_CHAINED = "select arxiv_id, substring(title, 1, 20) as title, relevance, case when relevance >= 60 then 'P0' else 'P1' end as tier from papers where relevance >= 30 and regexp_matches(arxiv_id, '^[0-9]{4}[.][0-9]{4,5}$')"
+
+
+@query(b.sql(_CHAINED, P))
+def stream_item_chain(spark, d):
+    """One chain of steps (valid identifiers, relevant ones, clipped titles, tiers) over a stream of written papers."""
+    steps = jobs.chain(
+        lambda df: df.filter(tx.is_arxiv_id(F.col("arxiv_id"))), lambda df: df.filter("relevance >= 30"), lambda df: df.withColumn("title", tx.clip(F.col("title"), 20)),
+        lambda df: df.withColumn("tier", F.when(F.col("relevance") >= 60, "P0").otherwise("P1")),
+    )
+    root = folder(spark)
+    papers = b.papers(spark, d).select("arxiv_id", "title", "relevance")
+    papers.write.parquet(root)
+    return jobs.to_table(steps(jobs.pages(spark, root, papers._jdf.schema().toDDL(), "parquet", 2)), "append", folder(spark), folder(spark))
+
+
+@query(b.sql("select string_agg(line, chr(10) order by o) as report from (select 0 as o, 'Citation audit' || chr(10) || '==============' || chr(10) || 'citations: ' || cast(count(*) as varchar) as line from papers union all select o, printf('%-10s %8d  %5.1f %%', s, count(*), 100.0::double * count(*) / (select count(*) from papers)) from (select case when relevance >= 70 then 1 when relevance >= 40 then 2 else 3 end as o, case when relevance >= 70 then 'VERIFIED' when relevance >= 40 then 'SUSPECTED' else 'NOT_FOUND' end as s from papers) group by o, s)", P))
+def report_text(spark, d):
+    """The text of an audit over all papers, whose statuses are made of their relevance."""
+    results = b.papers(spark, d).select(tx.status_of(F.col("relevance") / 100).alias("status"))
+    totals = {r["status"]: r["n"] for r in audit.report_totals(results).collect()}  # a row a status
+    return spark.createDataFrame([(audit.render_report(totals),)], "report string")
