@@ -40,8 +40,8 @@ BOILERPLATE = (
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
 _SEPARATOR = re.compile(r"(?:^|(?<=\s))(?:[|»«›‹•·→]|>{1,2}|/)(?=\s|$)")
 _TERMINAL = re.compile(r"[.!?…:;。！？][\"'”’»)\]*]*\s*$")
-#: A word that ends in two or more marks of decoration or shouting (an ellipsis is none).
-_DECORATED = re.compile(r"(?:[#*$%&<>|~^=_!?]{2,})[.,;:]?$")
+#: Marks of decoration or shouting; an ellipsis is none.
+_MARKS = "#*$%&<>|~^=_!?"
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,12 @@ class Rules:
     max_lost: float = 0.4
 
 
+def is_decorated(word: str) -> bool:
+    """Whether a word ends in two or more marks, with or without one stop behind them. Seen from its end, so a long word takes no square."""
+    bare = word[:-1] if word[-1:] in (".", ",", ";", ":") else word
+    return len(bare) - len(bare.rstrip(_MARKS)) >= 2
+
+
 def line_fault(line: str, rules: Rules = Rules()) -> str:
     """'punctuation', 'navigation' or 'boilerplate', or '' for a line that stays. Blank lines stay."""
     words = line.split()
@@ -68,7 +74,7 @@ def line_fault(line: str, rules: Rules = Rules()) -> str:
             return "navigation"
     if n <= rules.boilerplate_words and _BOILERPLATE.search(line):
         return "boilerplate"
-    decorated = sum(1 for w in words if not w[-1].isalnum() and _DECORATED.search(w))
+    decorated = sum(1 for w in words if not w[-1].isalnum() and is_decorated(w))
     if decorated > rules.max_decorated * n:
         return "punctuation"
     if not _TERMINAL.search(line):
