@@ -561,3 +561,18 @@ def test_leak_edges(spark):
     item = spark.createDataFrame([(7, "Alpha beta gamma delta epsilon zeta!")], "item_id long, text string")
     assert [(r.first_word, r.n_words, r.similarity) for r in decontamination.find_leaks(twice, item).collect()] == [(2, 6, 1.0)]
     assert decontamination.without_leaks(df, one).columns == df.columns and decontamination.find_leaks(df.limit(0), one).count() == 0
+
+
+def test_long_words_of_marks_take_time_in_proportion():
+    """Words of 200,000 characters, within a second each; the rule is that of the expression it stands for."""
+    import time
+
+    rule = re.compile(r"(?:[#*$%&<>|~^=_!?]{2,})[.,;:]?$")
+    rnd = random.Random(7)
+    for _ in range(3000):
+        w = "".join(rnd.choice("a#*!?.,;:(") for _ in range(rnd.randint(1, 6)))
+        assert line_quality.is_decorated(w) == bool(rule.search(w)), w
+    for make in (lambda n: "#" * n + "(", lambda n: "#" * n + ".", lambda n: "!." * (n // 2) + "(", lambda n: "." + ")" * n + "x", lambda n: ".\"" * (n // 2) + "x", lambda n: "|" * n):
+        began = time.time()
+        line_quality.line_fault(make(200_000))
+        assert time.time() - began < 1
