@@ -6,8 +6,8 @@ however long, is parsed in parallel lanes). The language with the fewest phrases
 training text's length, wins; ties go to the first language in order of name.
 
 Training: at most ``slots`` documents and ``train_letters`` letters a language, chosen by hash of doc_id among those with
-text, language and a doc_id that ``learn`` admits; each of these documents gives as many letters from its beginning as any other
-that is long enough. Beyond ten languages each gets ``MOST_STATES`` / 2 letters divided by their number. These bounds don't
+text, language and a doc_id that ``learn`` admits; each of these documents gives as many letters as any other that is long enough, of a
+very long one from a place that its doc_id draws. Of several texts with one doc_id the one with the least hash counts. Beyond ten languages each gets ``MOST_STATES`` / 2 letters divided by their number. These bounds don't
 grow with the input; every text is predicted whole. Transitions are hashed, some hundred bytes a state, so memory doesn't
 depend on the size of an alphabet.
 
@@ -225,7 +225,10 @@ def training_texts(docs: DataFrame, learn: Column, train_letters: int = TRAIN_LE
     if not langs:
         return ()
     most = min(train_letters, MOST_STATES // (2 * len(langs)))
-    texts = able.filter(F.col("doc_id").isin([d for _, d in ids])).select("lang", "doc_id", F.substring("text", 1, 4 * most).alias("text")).distinct()
+    # Of texts with the same doc_id the one with the least hash; of a long one a part from a place that the doc_id draws.
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - 4 * most, F.lit(0)) + 1) + 1
+    some = able.filter(F.col("doc_id").isin([d for _, d in ids])).groupBy("lang", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = some.select("lang", "doc_id", F.substring("text", begin.cast("int"), F.lit(4 * most)).alias("text"))
     have: dict[str, list[str]] = {x: [] for x in langs}
     allowed = set(ids)
     for r in sorted(texts.toLocalIterator(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):

@@ -5,8 +5,9 @@ its neighbours in the training texts, normalised. A document is the mean of its
 shapes' vectors. A two-layer numpy network gives a logit; a temperature fitted on a fold it hasn't seen calibrates it.
 
 Learning takes at most ``TRAIN_ROWS`` labelled documents and ``TRAIN_WORDS`` words, those with the least hash of doc_id that
-``learn`` admits; the bound doesn't grow with the input. Executors cut the chosen texts into words, and the driver reads
-those that fit the bound, so a labelled text of any length is no burden to it: one that doesn't fit is left out, and no later one with it.
+``learn`` admits, in order of that hash; the bound doesn't grow with the input. Executors cut the chosen texts into words, and the
+driver reads those within the bound. Of a text longer than an eighth of it a run of words is learnt from, at a place that its doc_id
+draws: so no length keeps a document out, and none is a burden to the driver.
 Scoring is a narrow map over whole texts; a score is a function of the text and the model alone, whatever stands beside it.
 
 Null or empty text: a document without words has the zero vector and is scored as such. Null doc_id: scored, never learnt
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import PUNCTUATION, Words, cut, filter_texts, map_texts, whole_texts
+from .common import PUNCTUATION, Words, cut, filter_texts, map_texts, mixed, whole_texts
 from .language_id import is_held_out
 
 DIMENSIONS = 32
@@ -34,6 +35,8 @@ NEIGHBOURS = 2
 HIDDEN = 24
 TRAIN_ROWS = 3000
 TRAIN_WORDS = 2_500_000
+#: Of one document at most TRAIN_WORDS divided by this many words are learnt from.
+LONG = 8
 SEED = 20
 EPOCHS = 300
 
@@ -194,23 +197,33 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, train_rows: int = TRA
         .groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     )
 
+    most = max(1, train_words // LONG)
+
     def make():
         def work(part: pa.RecordBatch) -> list:
+            ids = part.column("doc_id").to_numpy()
             buckets, at, shapes, shapes_at = word_ids(whole_texts(part.column("text")))
-            runs = lambda x, at: [x[a:b].astype("<i4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            return [part.column("doc_id"), pa.array(np.diff(at)), pa.array(runs(buckets, at), pa.binary()), pa.array(runs(shapes, shapes_at), pa.binary())]
+
+            def runs(x: np.ndarray, at: np.ndarray) -> list[bytes]:
+                """Each text's words, or a run of ``most`` of them from a place that the doc_id draws."""
+                out = []
+                for i, a, b in zip(ids.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    a += int(mixed(np.array([i], np.int64).view(np.uint64))[0]) % max(1, b - a - most + 1)
+                    out.append(x[a : min(b, a + most)].astype("<i4").tobytes())
+                return out
+
+            return [part.column("doc_id"), pa.array(np.minimum(np.diff(at), most)), pa.array(runs(buckets, at), pa.binary()), pa.array(runs(shapes, shapes_at), pa.binary())]
 
         return work
 
-    # Words stay on the executors' side until it is known which documents fit; the driver reads those alone.
+    # Words stay on the executors' side until it is known which documents are read; the driver reads those alone.
     read = cut(map_texts(texts, "doc_id bigint, n bigint, buckets binary, shapes binary", make))
     left, fit_ = train_words, []
     for r in sorted(read.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").collect()):
-        if r["n"] <= left:  # one that doesn't fit keeps out no later one
-            left -= r["n"]
-            fit_.append(r["doc_id"])
-    if wanted and not fit_ and not read.isEmpty():
-        raise ValueError(f"no labelled document has at most {train_words} words; nothing can be learnt")
+        if left <= 0:  # in order of the hash, so what is left out says nothing of its length
+            break
+        left -= r["n"]
+        fit_.append(r["doc_id"])
     of = {x: k for k, x in enumerate(fit_)}
     within = sorted(((of[r["doc_id"]], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["shapes"], "<i4"), wanted[r["doc_id"]]) for r in _few(read, fit_)), key=lambda r: r[0])
     return trained([r[1:] for r in within])
