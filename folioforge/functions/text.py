@@ -179,8 +179,10 @@ def keywords(text: Column, most: int = 15) -> Column:
     return F.array_sort(F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3)), 1, most), by)
 
 
-# The address of a repository, with or without a scheme; its path ends before a mark.
-REPOSITORY = r"""(?i)(?:https?://)?(?:www\.)?github\.com/([A-Za-z0-9._\-]+/[A-Za-z0-9._/\-]+?)(?:[\s."'<>),]|$)"""
+# The address of a repository, a link to one whose text is Code, a link of a class with code in its name. Case doesn't matter.
+REPOSITORY = r"""(?:https?://)?(?:www\.)?github\.com/([A-Za-z0-9._-]+/[A-Za-z0-9._/-]+?)(?:\s|\.|\"|'|<|>|\)|,|$|\))"""
+LABELLED_LINK = r'<a[^>]*href="(https?://github\.com/[^"]+)"[^>]*>\s*Code\s*</a>'
+CLASSED_LINK = r'<a[^>]*class="[^"]*code[^"]*"[^>]*href="([^"]+)"'
 
 
 def github_url(html: Column) -> Column:
@@ -190,9 +192,8 @@ def github_url(html: Column) -> Column:
     link of a class with code in its name whose address has github in it. A trailing slash and ``.git`` go.
     """
     bare = lambda x: F.regexp_replace(F.regexp_replace(x, "/+$", ""), r"\.git$", "")
-    get = lambda p: F.nullif(F.regexp_extract(html, p, 1), F.lit(""))
-    labelled = get(r'(?i)<a[^>]*href="(https?://github\.com/[^"]+)"[^>]*>\s*Code\s*</a>')
-    classed = get(r'(?i)<a[^>]*class="[^"]*code[^"]*"[^>]*href="([^"]+)"')
+    get = lambda p: F.nullif(F.regexp_extract(html, "(?i)" + p, 1), F.lit(""))
+    labelled, classed = get(LABELLED_LINK), get(CLASSED_LINK)
     anywhere = F.concat(F.lit("https://github.com/"), bare(get(REPOSITORY)))
     return F.coalesce(bare(labelled), anywhere, F.when(F.lower(classed).contains("github"), F.regexp_replace(classed, "/+$", "")), F.lit(""))
 
@@ -305,9 +306,8 @@ def snowflake_sequence(sf_id: Column) -> Column:
 # ---- citations in prose ----------------------------------------------------------------------------------------------
 
 # The two shapes of a citation by title.
-_WHO = r"[A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-z]+))?"
-TITLE_FIRST = rf'"([^"]+)"\s*\(({_WHO})\s*,?\s*(\d{{4}})\)'
-AUTHOR_FIRST = rf'({_WHO})\s*\((\d{{4}})\)\s*["\u201c]([^"\u201d]+)["\u201d]'
+TITLE_FIRST = r'"([^"]+)"\s*\(([A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-z]+))?)\s*,?\s*(\d{4})\)'
+AUTHOR_FIRST = r'([A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-z]+))?)\s*\((\d{4})\)\s*["\u201c]([^"\u201d]+)["\u201d]'
 
 
 def citations(text: Column) -> Column:

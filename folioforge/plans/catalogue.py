@@ -218,8 +218,7 @@ def citation_phrase_candidates(spark, d):
 _CITED = """cited as (select conv_id, turn, text || ' arXiv:' || lpad(cast(conv_id % 10000 as varchar), 4, '0') || '.' || lpad(cast(turn as varchar), 5, '0') || 'v2 '
  || case (conv_id + turn) % 5 when 0 then '"A title of some length" (Author et al., ' || cast(1990 + conv_id % 30 as varchar) || ')' when 1 then 'Smith & Jones (' || cast(1990 + turn % 30 as varchar) || ') "Its title"'
  when 2 then 'Müller (2019) "no, the name has an umlaut"' when 3 then 'Lee et al. (' || cast(2000 + conv_id % 20 as varchar) || ') ' || chr(8220) || 'curly quotes' || chr(8221) else '"nothing, as the year is short" (Author, 19)' end as t from conversations)"""
-_WHO = r"[A-Z][a-z]+(?:\s+(?:et\s+al\.?|&\s+[A-Z][a-z]+))?"
-_SHAPES = ((rf'"([^"]+)"\s*\(({_WHO})\s*,?\s*(\d{{4}})\)', 2, 3, 1), (rf'({_WHO})\s*\((\d{{4}})\)\s*["“]([^"”]+)["”]', 1, 2, 3))
+_SHAPES = ((tx.TITLE_FIRST, 2, 3, 1), (tx.AUTHOR_FIRST.replace(r"\u201c", "“").replace(r"\u201d", "”"), 1, 2, 3))  # DuckDB knows no such escapes
 _PARSED = " union all ".join(f"select conv_id, turn, 'author-year-title' as type, '' as id, trim(regexp_extract(m, '{p}', {a})) as authors, cast(regexp_extract(m, '{p}', {y}) as integer) as year, trim(regexp_extract(m, '{p}', {t})) as title from (select conv_id, turn, unnest(regexp_extract_all(t, '{p}')) as m from cited)" for p, a, y, t in _SHAPES)
 
 
@@ -590,8 +589,7 @@ def code_level_best_repo(spark, d):
 _LINKED = """linked as (select page_id, case page_id % 5 when 0 then html || '<A class=x HREF="https://github.com/lab' || cast(page_id % 10 as varchar) || '/digit.git"> Code </a><a href="https://github.com/not/this">x</a>'
  when 1 then html || 'see www.github.com/lab' || cast(page_id % 10 as varchar) || '/digit/ for it' when 2 then html || '<a class="my-code" href="https://pages.github.io/lab' || cast(page_id % 10 as varchar) || '/">'
  when 3 then html || '<a class="code" href="https://elsewhere.org/x">' else html end as h from pages)"""
-_REPO = r"""(?i)(?:https?://)?(?:www\.)?github\.com/([A-Za-z0-9._\-]+/[A-Za-z0-9._/\-]+?)(?:[\s."''<>),]|$)"""
-_LABELLED, _CLASSED = r"""(?i)<a[^>]*href="(https?://github\.com/[^"]+)"[^>]*>\s*Code\s*</a>""", r"""(?i)<a[^>]*class="[^"]*code[^"]*"[^>]*href="([^"]+)\""""
+_REPO, _LABELLED, _CLASSED = ("(?i)" + x.replace("'", "''") for x in (tx.REPOSITORY, tx.LABELLED_LINK, tx.CLASSED_LINK))
 
 
 @query(b.sql(rf"select page_id, case when a <> '' then regexp_replace(regexp_replace(a, '/+$', ''), '\.git$', '') when g <> '' then 'https://github.com/' || regexp_replace(regexp_replace(g, '/+$', ''), '\.git$', '') when contains(lower(c), 'github') then regexp_replace(c, '/+$', '') else '' end as code_url from (select page_id, regexp_extract(h, '{_LABELLED}', 1) as a, regexp_extract(h, '{_REPO}', 1) as g, regexp_extract(h, '{_CLASSED}', 1) as c from linked)", _LINKED))
