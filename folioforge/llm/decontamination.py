@@ -19,7 +19,8 @@ Weights are counted over the whole benchmark, by an aggregation. Items are then
 
 Null or empty text, document or item: matches nothing. An item under five words has no shingle and matches nothing. A text
 shorter than an item is one window. Of windows of equal similarity the first, then the shorter one is told. Repeated
-documents or items match each on their own. Null ids are carried as they are. Further columns don't matter.
+documents or items match each on their own. Null ids are carried as they are. Further columns don't matter. Without documents there are
+no rows, without items no matches.
 """
 
 from __future__ import annotations

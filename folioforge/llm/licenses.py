@@ -11,7 +11,7 @@ A license may have several templates; the best window of any counts. Only window
 collide with it, so only those are hashed. A narrow map; the templates are a fixed list (or the caller's), some kilobytes.
 
 Null or empty text: no license. Of windows of equal containment the first one is told. Repeated rows are each scanned; null
-doc_ids are carried; further columns don't matter. A text of any length is scanned whole.
+doc_ids are carried; further columns don't matter. A text of any length is scanned whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

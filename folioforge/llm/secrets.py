@@ -6,7 +6,7 @@ intersecting and uniting postings; only the documents left are searched with the
 no mandatory trigram follows are searched in every document.
 
 Null text counts as empty: zero counts and the hash of the empty string. Null or repeated doc_ids and further columns
-don't matter: a row gives a row. Whole texts are searched. A narrow map: no shuffle.
+don't matter: a row gives a row. Whole texts are searched. A narrow map: no shuffle. An empty table gives no rows.
 """
 
 from __future__ import annotations

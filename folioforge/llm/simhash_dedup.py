@@ -15,7 +15,8 @@ remove near-duplicates at a similarity, ``deduplicate`` uses the same index at a
 
 Null text and text without a word: fingerprint zero, linked as any other. Null doc_id: it has a fingerprint and a
 component but gives no component its name; a component of nothing but null doc_ids has a null component_id. Repeated rows
-are linked as copies; deduplicate() keeps one of them. Further columns, clashing names too, stay as they are.
+are linked as copies; deduplicate() keeps one of them. Further columns, clashing names too, stay as they are. An empty table gives
+no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ The registered query revises every text: long numbers are masked, and a passage
 replaced at places that a hash of the text draws, so that each document's tree is edited. Edits at equal places come in that order.
 
 Null text counts as empty: zero tokens, no edits. Null or repeated doc_ids and further columns don't matter; each row is
-counted by itself. A narrow map: no shuffle, memory for one slice and a bounded memo of pre-tokens.
+counted by itself. A narrow map: no shuffle, memory for one slice and a bounded memo of pre-tokens. An empty table gives no rows.
 """
 
 from __future__ import annotations
