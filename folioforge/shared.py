@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of a few bytes a row may be broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 _OWN: list[str] = []
+_CUTS: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,10 +32,20 @@ def folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder."""
     path = folder(df.sparkSession)
+    _CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that this process has cut; results that still read them must have been written before. How many there were."""
+    n = len(_CUTS)
+    while _CUTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (narrow rows) with a broadcast hint if it is counted to have at most that many rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -96,3 +96,14 @@ def test_known_ids_are_excluded_whatever_is_large(spark):
         for few in (0, 10**6):
             assert known.exclude(a, b, few=few).count() == a.count()
     assert known.Shape.of(10**9, 0.01).rate > known.Shape.of(10**6, 0.01).rate
+
+
+def test_cut_tables_are_swept(spark):
+    from folioforge import shared
+
+    shared.sweep(spark)
+    table = shared.cut(spark.range(10))
+    path = table.inputFiles()[0]
+    assert table.count() == 10 and shared.sweep(spark) == 1 and shared.sweep(spark) == 0
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
