@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the next one's docs. All but the last return the columns of ``documents``.
+
+What every stage does with odd rows: further columns, clashing names too, are carried by all stages but the last; an empty table stays
+empty; very long texts are worked on whole. Null and empty texts: scored as texts without words by the classifier; copies of each other
+in near-dedup; without leaks and personal data; the end id alone in packing. Null doc_ids are kept, and in near-dedup are
+the last of a group to stay. Of repeated rows one stays after near-dedup, the least doc_id of each group; ties go to the least hash of the row.
 """
 
 from __future__ import annotations
