@@ -201,6 +201,17 @@ def fts_column_filter(spark, d):
     return index.match("(title:der OR authors:src1) NOT that").select(F.col("doc").alias("sf_id"), F.round("score", 6).alias("score"))
 
 
+#: All words that these two stems stand for; the tests hold them against the stemmer.
+STEM_FORMS = {"the": "^the(s|ing|ings)?$", "in": "^in(e|s|es|ed|eds|ing|ings|ness)?$"}
+
+
+@query(_fts_sql([_count(f"regexp_matches(x, '{STEM_FORMS['the']}')"), _count(f"regexp_matches(x, '{STEM_FORMS['in']}')")], "tf0 > 0 and tf1 > 0", ""))
+def fts_stem_forms(spark, d):
+    """Two words that occur in other forms too, by their stems."""
+    index = fts.Index.build(b.papers(spark, d), "sf_id", _FIELDS, stemmed=True)
+    return index.match("thes AND ining").select(F.col("doc").alias("sf_id"), F.round("score", 6).alias("score"))
+
+
 _CHAINED = "select arxiv_id, substring(title, 1, 20) as title, relevance, case when relevance >= 60 then 'P0' else 'P1' end as tier from papers where relevance >= 30 and regexp_matches(arxiv_id, '^[0-9]{4}[.][0-9]{4,5}$')"
 
 

@@ -107,3 +107,15 @@ def test_cut_tables_are_swept(spark):
     assert table.count() == 10 and shared.sweep(spark) == 1 and shared.sweep(spark) == 0
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_forms_of_stems(spark, sf_dir):
+    import re
+
+    from folioforge.functions.stem import stem
+    from folioforge.plans.growth import STEM_FORMS
+
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    words = {w for x in texts for w in re.findall(r"[^\W_]+", x.lower())} | {f"{s}{e}" for s in STEM_FORMS for e in ("", "e", "s", "es", "ed", "eds", "ing", "ings", "ly", "ness", "er", "ion")}
+    for s, form in STEM_FORMS.items():
+        assert {w for w in words if stem(w) == s} == {w for w in words if re.match(form, w)}
