@@ -188,3 +188,17 @@ def test_stems_are_made_of_the_vocabulary_once(spark):
     want = [k for k, x in texts.items() if {"model", "train"} <= {stem(w.strip(",").lower()) for w in (x or "").split()}]
     assert sorted(r["doc"] for r in found.collect()) == want == [1, 2]
     assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """As Spark's readers do, without its index of all files on the driver."""
+    for name, text in {"a b.pdf": "x", "1/c+d.pdf": "yy", "1/2/e.pdf": "é", "1/f.md": "z", ".g.pdf": "h", "_h/i.pdf": "h", "1/_j.pdf": "h", "1/empty.pdf": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    told = lambda rows: sorted((r.path.rpartition("/")[2], r.md5, r.length) for r in rows.collect())
+    plain = {deep: told(spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(str(tmp_path)).selectExpr("path", "md5(content) as md5", "length")) for deep in (True, False)}
+    monkeypatch.setattr(type(spark), "read", property(lambda self: pytest.fail("the driver lists files")))
+    for deep in (True, False):
+        assert told(readers.file_checksums(spark, str(tmp_path), recursive=deep)) == plain[deep]
+    assert sorted(r[0] for r in readers.file_stems(spark, f"file://{tmp_path}").collect()) == ["a b", "c+d", "e"]
+    assert {r.value for r in readers.whole_texts(spark, str(tmp_path), recursive=True).collect()} == {"x", "yy", "é", "z"}
