@@ -120,3 +120,22 @@ def test_expired_tokens_and_empty_lists(spark):
     reader = PageReader(Empty(), "", 5)
     assert reader.latestOffset() == reader.initialOffset()
     assert paging.oai_records(spark.createDataFrame([("",), (None,), ("<record>",)], "payload string")).collect() == []
+
+
+def test_micro_batches_grow_with_the_list(monkeypatch):
+    """The store is looked up once a micro-batch: 160 times for 5,000 pages in batches of 32, where it is now eight."""
+
+    class Pages:
+        def fetch(self, token, since):
+            n = int(token or 0)
+            return "" if since and not token else f"<record><datestamp>2024-01-01</datestamp>{n}</record>" + (f"<resumptionToken>{n + 1}</resumptionToken>" if n < 4999 else "")
+
+    reader = PageReader(Pages(), "", 32, growing=True)
+    at, batches, seen = reader.initialOffset(), 0, []
+    while (after := reader.latestOffset())["page"] > at["page"]:
+        parts = reader.partitions(at, after)
+        assert len(parts) <= paging.MOST_TASKS
+        seen += [row[:2] for p in parts for row in reader.read(p)]
+        reader.commit(after)
+        at, batches = after, batches + 1
+    assert seen == [(i, str(i) if i else "") for i in range(5000)] and batches < 10
