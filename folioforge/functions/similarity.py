@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+#: From so many characters of the second text on, the standard library's matcher leaves frequent ones out.
+JUNK = 200
+
+
 def normalized(x: str | None) -> str:
     return " ".join(re.sub(r"[^\w\s]", "", x or "").split()).lower()
 
 
 def ratio(a: str | None, b: str | None) -> float:
     """The matched share of two normalised titles; order matters, as for the standard library's matcher."""
-    return SequenceMatcher(None, normalized(a), normalized(b)).ratio()
+    a, b = normalized(a), normalized(b)
+    if len(b) < JUNK and (a in b or b in a):  # the shorter one is the longest common block, and leaves nothing on one side
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b)) if a or b else 1.0
+    return SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(DoubleType())

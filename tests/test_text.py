@@ -138,3 +138,24 @@ def test_cosine(spark):
     one = spark.createDataFrame([([0.1, 0.2, 0.3], [0.1, 0.2, 0.3], [0.0, 0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     r = one.select(sim.dot(F.col("a"), F.col("b")), sim.cosine(F.col("a"), F.col("b")), sim.cosine(F.col("a"), F.col("z"))).first()
     assert r[0] == pytest.approx(0.14) and r[1] == pytest.approx(1.0) and r[2] == 0.0
+
+
+def test_ratio_of_a_contained_title_is_the_matchers(monkeypatch):
+    """Also from the length on at which the matcher leaves out frequent characters; and it isn't asked where the answer is known."""
+    import random
+    from difflib import SequenceMatcher
+
+    from folioforge.functions import similarity
+
+    r = random.Random(1)
+    made = lambda n: "".join(r.choice("ab c") for _ in range(n)).strip()
+    known = 0
+    for _ in range(2000):
+        b = similarity.normalized(made(r.choice((0, 3, 40, 199, 230))))
+        i = r.randrange(len(b) + 1)
+        x = r.choice((b[i : i + r.randrange(60)], b + made(9), made(5)))
+        assert similarity.ratio(x, b) == SequenceMatcher(None, similarity.normalized(x), b).ratio()
+        known += similarity.normalized(x) in b
+    assert known > 500
+    monkeypatch.setattr(similarity, "SequenceMatcher", None)
+    assert similarity.ratio("The word", "Of the word.") == 2 * 8 / 19
