@@ -21,6 +21,8 @@ from .audit import best_rows
 
 #: Pivots at most; rows and queries of a block; rows that a block's queries are compared with at once.
 PIVOTS, ROWS, QUERIES, TILE = 1024, 4096, 4096, 512
+#: Rows of a batch that are held against all pivots at once; rows that a batch of queries and cells has at most, but for a query's own.
+SLICE, TOLD = 512, 16_384
 #: Angles and similarities (of six places) are compared with this much to spare.
 SLACK = 2e-6
 #: Cell of zero vectors, whose similarity to all others is 0.
@@ -43,6 +45,26 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, SLICE at most in a batch: what is made of a row may be as large as all pivots."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            yield batch.slice(lo, SLICE)
+
+
+def told(ids: pa.Array, x: np.ndarray, of: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """query_id, x, cell: a row for each cell of each query, TOLD or one query's in a batch. A query may meet all cells, each time
+    with its vector."""
+    ends = np.cumsum([len(c) for c in of])
+    lo = 0
+    while lo < len(of):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOLD, side="right")))
+        at = pa.array(np.repeat(np.arange(lo, hi), [len(c) for c in of[lo:hi]]))
+        said = pa.array([v.tobytes() for v in x[lo:hi]], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids.take(at), said.take(pa.array(at.to_numpy() - lo)), pa.array(np.concatenate(of[lo:hi]).astype(np.int32))], names=["query_id", "x", "cell"])
+        lo = hi
+
+
 def best(ids: np.ndarray, x: np.ndarray, own: np.ndarray, y: np.ndarray, k: int, tile: int = TILE) -> pa.RecordBatch:
     """query_id, neighbour_id, sim: the k rows (own, y) of greatest similarity (six places; ties by id) to each query, itself left out."""
     s, o = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
@@ -109,7 +131,7 @@ def join(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for batch in batches:
+        for batch in _sliced(batches):
             x, some = unit(batch.column(1), width)
             angles = _angles(x, made)
             zero = ~x.any(axis=1)
@@ -134,16 +156,10 @@ def join(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
             order = np.argsort(angles, kind="stable")
             yield held[order[: int(np.searchsorted(np.cumsum(filled[order]), k + 1)) + 1]]
 
-    def told(ids, x, of) -> pa.RecordBatch:
-        n = [len(c) for c in of]
-        at = np.repeat(np.arange(len(x)), n)
-        said = pa.array([v.tobytes() for v in x], pa.binary())
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), said.take(pa.array(at)), pa.array(np.concatenate([*of, np.zeros(0)]).astype(np.int32))], names=["query_id", "x", "cell"])
-
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             x, some = unit(batch.column(1), width)
-            yield told(batch.column(0).take(pa.array(some)), x, list(home(x)))
+            yield from told(batch.column(0).take(pa.array(some)), x, list(home(x)))
 
     asked = cut(queries.select(F.col(key).cast("bigint").alias("query_id"), vector).dropDuplicates(["query_id"]))
     near = cut(asked.mapInArrow(start, "query_id bigint, x binary, cell int"))
@@ -152,7 +168,7 @@ def join(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     bound = best_rows(hits, ["query_id"], order, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("sim")).alias("least"))
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             x, some = unit(batch.column(1), width)
             ids, least = batch.column(0).take(pa.array(some)), batch.column(2).to_numpy(zero_copy_only=False)[some]
             least = np.where(np.isnan(least), -1.0, least)
@@ -163,7 +179,7 @@ def join(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
                 more = held[lower[i] <= reach[i] + SLACK]
                 zero = [ZERO] if ZERO in sizes and ZERO not in h and (least[i] <= SLACK or not np.isfinite(reach[i])) else []
                 of.append(np.array([*np.setdiff1d(more, h), *zero]))
-            yield told(ids, x, of)
+            yield from told(ids, x, of)
 
     rest = cut(asked.join(bound, "query_id", "left").select("query_id", vector, "least").mapInArrow(further, "query_id bigint, x binary, cell int"))
     if report:

@@ -119,3 +119,18 @@ def test_forms_of_stems(spark, sf_dir):
     words = {w for x in texts for w in re.findall(r"[^\W_]+", x.lower())} | {f"{s}{e}" for s in STEM_FORMS for e in ("", "e", "s", "es", "ed", "eds", "ing", "ings", "ly", "ness", "er", "ion")}
     for s, form in STEM_FORMS.items():
         assert {w for w in words if stem(w) == s} == {w for w in words if re.match(form, w)}
+
+
+def test_queries_that_meet_all_cells_are_told_in_small_batches(monkeypatch):
+    """Before, a batch of queries and all cells, each with the query's vector, was one table in memory."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbours, "TOLD", 100)
+    ids, x = pa.array(range(40)), np.arange(80.0).reshape(40, 2)
+    of = [np.arange(i) if i != 7 else np.arange(300) for i in range(40)]
+    made = list(neighbours.told(ids, x, of))
+    assert sorted(b.num_rows for b in made)[-2] <= 100 and max(b.num_rows for b in made) == 300
+    rows = [(q, tuple(np.frombuffer(v)), c) for b in made for q, v, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+    assert rows == [(i, tuple(x[i]), c) for i in range(40) for c in of[i].tolist()]
+    assert [b.num_rows for b in neighbours._sliced([pa.record_batch({"a": range(1100)})])] == [512, 512, 76]
