@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import stem as stem_word
 from ..functions.stem import stems
-from ..functions.text import has_category, in_years
-from ..shared import BROADCAST_ROWS, cut, spread
+from ..functions.text import has_category, in_years, let
+from ..shared import BROADCAST_ROWS, cut, small, spread
 
 # BM25's parameters and the floor of its inverse document frequency.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -138,8 +138,36 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def runs(rows: Column, names: Sequence[str], made: Callable[[Column], Column]) -> Column:
+    """made(run) of each run of neighbours in a sorted array of structs that agree in the named fields."""
+
+    def of(s: Column) -> Column:
+        begins = lambda i: (i == 0) | reduce(lambda a, b: a | b, (F.get(s, i)[n] != F.get(s, i - 1)[n] for n in names))
+        at = F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), begins))
+        return let(at, lambda b: F.transform(b, lambda i, k: let(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), made)))
+
+    return let(rows, of)
+
+
+def own_postings(columns: Sequence[str]) -> Column:
+    """term, field, tf, places of a document whose columns are arrays of tokens, by term and field: made within its row, so no
+    occurrence is shuffled."""
+    placed = lambda c: F.transform(c, lambda w, i: F.struct(w.alias("term"), F.lit(c).alias("field"), i.alias("place")))
+    row = lambda run: F.struct(run[0]["term"].alias("term"), run[0]["field"].alias("field"), F.size(run).alias("tf"), F.transform(run, lambda x: x["place"]).alias("places"))
+    return runs(F.sort_array(F.concat(*map(placed, columns))), ("term", "field"), row)
+
+
+def split(docs: DataFrame, columns: Sequence[str], *keys: str) -> DataFrame:
+    """The keys, the tokens of each column, and length, how many they are."""
+    return spread(docs.select(*keys, *columns)).select(*keys, *(tokens(F.col(c)).alias(c) for c in columns)).withColumn("length", reduce(lambda a, c: a + F.size(c), columns, F.lit(0)))
+
+
 class Index:
-    """postings: term, doc, field, tf, places; lengths: doc, length (terms in all columns)."""
+    """postings: term, doc, field, tf, places; lengths: doc, length (terms in all columns). Of one that is stemmed and not saved
+    also its occurrences (placed: doc, field, place, term), and the stem of each (vocabulary)."""
+
+    placed: DataFrame | None = None
+    vocabulary: DataFrame | None = None
 
     def __init__(self, postings: DataFrame, lengths: DataFrame, columns: Sequence[str], stemmed: bool, saved: bool = False):
         self.postings, self.lengths, self.columns, self.stemmed, self.saved = postings, lengths, tuple(columns), stemmed, saved
@@ -147,23 +175,28 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, key: str, columns: Sequence[str] = ("title", "authors", "abstract"), stemmed: bool = True) -> Index:
         """Of deduplicated documents, so a re-imported one is never indexed twice."""
-        split = spread(docs.select(key, *columns)).select(F.col(key).alias("doc"), *(tokens(F.col(c)).alias(c) for c in columns))
-        lengths = split.select("doc", reduce(lambda a, c: a + F.size(c), columns, F.lit(0)).alias("length"))
-        each = split.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in columns))).alias("f"))
-        placed = each.select("doc", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term"))
-        postings = placed.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-        if stemmed:
-            # A row a term, written: a filter on stems then reaches the vocabulary alone, and no occurrence meets the UDF.
-            vocabulary = cut(placed.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stems("term")))
-            stem = [F.col("stem").alias("term"), "doc", "field"]
-            if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-                postings = placed.join(F.broadcast(vocabulary.drop("n")), "term").groupBy(*stem).agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
-            else:  # stems of frequent terms, a thousand at most, are broadcast; no other term is a heavy key
-                total = vocabulary.agg(F.sum("n")).first()[0]
-                frequent = F.broadcast(vocabulary.filter(F.col("n") * HEAVY > total).drop("n"))
-                both = postings.join(frequent, "term").unionByName(postings.join(frequent.select("term"), "term", "left_anti").join(vocabulary.filter(F.col("n") * HEAVY <= total).drop("n"), "term"))
-                postings = both.groupBy(*stem).agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-        return cls(postings, lengths, columns, stemmed)
+        words = split(docs.select(F.col(key).alias("doc"), *columns), columns, "doc")
+        lengths = words.select("doc", "length")
+        raw = words.select("doc", F.inline(own_postings(columns))).select("term", "doc", "field", "tf", "places")
+        if not stemmed:
+            return cls(raw, lengths, columns, stemmed)
+        # A row a term, written: a filter on stems then reaches the vocabulary alone, and no occurrence meets the UDF.
+        terms = words.select(F.explode(F.concat(*columns)).alias("term"))
+        vocabulary = cut(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("stem", stems("term")))
+        if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            both = raw.join(F.broadcast(vocabulary.drop("n")), "term")
+        else:  # stems of frequent terms, a thousand at most, are broadcast; no other term is a heavy key
+            total = vocabulary.agg(F.sum("n")).first()[0]
+            frequent = F.broadcast(vocabulary.filter(F.col("n") * HEAVY > total).drop("n"))
+            both = raw.join(frequent, "term").unionByName(raw.join(frequent.select("term"), "term", "left_anti").join(vocabulary.filter(F.col("n") * HEAVY <= total).drop("n"), "term"))
+        index = cls(cls._by_stem(both), lengths, columns, stemmed)
+        each = words.select("doc", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("words")) for c in columns))).alias("f"))
+        index.placed, index.vocabulary = each.select("doc", F.col("f.field").alias("field"), F.posexplode("f.words").alias("place", "term")), vocabulary.select("term", "stem")
+        return index
+
+    @staticmethod
+    def _by_stem(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("stem").alias("term"), "doc", "field").agg(F.sum("tf").cast("int").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
 
     def save(self, path: str) -> None:
         """Postings in ranges of (term, doc), as many as the shuffle makes of their size; a term of any frequency spans as many
@@ -178,8 +211,11 @@ class Index:
     def _rows(self, atoms: Sequence[Atom]) -> DataFrame:
         words = sorted({t for a in atoms if not a.prefix for t in a.terms})
         starts = sorted({a.terms[-1] for a in atoms if a.prefix})
-        wanted = reduce(lambda c, p: c | F.col("term").startswith(p), starts, F.col("term").isin(words) if words else F.lit(False))
-        return self.postings.filter(wanted)
+        wanted = lambda t: reduce(lambda c, p: c | F.col(t).startswith(p), starts, F.col(t).isin(words) if words else F.lit(False))
+        if self.vocabulary is not None:  # the forms of the wanted stems are few, so only their postings are shuffled
+            forms = self.placed.join(small(self.vocabulary.filter(wanted("stem"))), "term")
+            return forms.groupBy(F.col("stem").alias("term"), "doc", "field").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+        return self.postings.filter(wanted("term"))
 
     def hits(self, tree: Node) -> tuple[DataFrame, list[Atom]]:
         """doc and a frequency f0, f1, ... of each atom, for documents with any; then those that the tree admits."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, small
 from . import versions
-from .fts import Index, Node, _positive, bm25, idf, parse
+from .fts import Index, Node, _positive, bm25, idf, own_postings, parse, runs, split
 
 #: Documents of a block, as a power of two; blocks that are opened first, and next.
 BITS, OPEN = 10, (64, 1024)
@@ -63,14 +63,19 @@ class Segments:
         """Documents, one a key; those that the index has are replaced. The number of the new version."""
         number, state = self.state()
         base = cut(docs.select(F.col(self.key).alias("doc"), *self.columns).withColumn("place", F.monotonically_increasing_id()))
-        # Postings and lengths carry the place along, so no join is needed to find a document's block.
-        made = Index.build(base.withColumn("__doc", F.struct("doc", "place")), "__doc", self.columns, self.stemmed)
-        lengths = cut(made.lengths.select("doc.doc", "doc.place", "length"))
-        fields = F.sort_array(F.collect_list(F.struct("field", "tf", "places")))
-        by_doc = made.postings.groupBy("term", "doc").agg(F.sum("tf").cast("int").alias("tf"), fields.alias("fields"))
-        hits = cut(by_doc.select("term", "doc.*", "tf", "fields").join(lengths.select("place", "length"), "place"))
-        terms = hits.groupBy("place").agg(F.collect_set("term").alias("terms"))
-        new = self._write(hits, lengths.join(terms, "place", "left"))
+        if self.stemmed:
+            # Postings and lengths carry the place along, so no join is needed to find a document's block.
+            made = Index.build(base.withColumn("__doc", F.struct("doc", "place")), "__doc", self.columns, True)
+            lengths = cut(made.lengths.select("doc.doc", "doc.place", "length"))
+            fields = F.sort_array(F.collect_list(F.struct("field", "tf", "places")))
+            by_doc = made.postings.groupBy("term", "doc").agg(F.sum("tf").cast("int").alias("tf"), fields.alias("fields"))
+            hits = cut(by_doc.select("term", "doc.*", "tf", "fields").join(lengths.select("place", "length"), "place"))
+            terms = hits.groupBy("place").agg(F.collect_set("term").alias("terms"))
+            new = self._write(hits, lengths.join(terms, "place", "left"))
+        else:  # a document's hits are made within its row: they are shuffled once, to their blocks
+            whole = lambda run: F.struct(run[0]["term"].alias("term"), F.aggregate(run, F.lit(0), lambda n, x: n + x["tf"]).alias("tf"), F.transform(run, lambda x: F.struct(x["field"], x["tf"], x["places"])).alias("fields"))
+            rows = cut(split(base, self.columns, "doc", "place").select("doc", "place", "length", runs(own_postings(self.columns), ("term",), whole).alias("hits")))
+            new = self._write(rows.select("doc", "place", "length", F.inline("hits")), rows.select("doc", "place", "length", F.col("hits.term").alias("terms")))
         dead = self._bury(state, base.select("doc"))
         after = {"segments": [*state["segments"], new], "dead": [*state["dead"], *dead[:1]], "dead_docs": state["dead_docs"] + dead[1], "dead_length": state["dead_length"] + dead[2]} if dead else state | {"segments": [*state["segments"], new]}
         versions.publish(self.spark, self.root, number + 1, after)

@@ -68,3 +68,20 @@ def test_few_blocks_are_opened(spark, tmp_path, small_blocks):
     assert got == [(d, -s) for s, d in want]
     opened, of = seen[0]
     assert of >= 200 and opened <= 13
+
+
+def test_a_documents_hits_are_made_without_a_shuffle(spark):
+    """Before, every occurrence was shuffled to its document, to which it belongs already."""
+    from pyspark.sql import functions as F
+
+    from folioforge.operators import fts
+
+    docs = spark.createDataFrame([(1, "b a b", None), (2, "", "A! x, a"), (3, "", "")], "k long, title string, body string")
+    index = fts.Index.build(docs, "k", ("title", "body"), stemmed=False)
+    assert sorted(map(tuple, index.postings.collect())) == [("a", 1, "title", 1, [1]), ("a", 2, "body", 2, [0, 2]), ("b", 1, "title", 2, [0, 2]), ("x", 2, "body", 1, [1])]
+    assert {(r.doc, r.length) for r in index.lengths.collect()} == {(1, 3), (2, 3), (3, 0)}
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "hashpartitioning" not in plan
+    stems = fts.Index.build(docs.withColumn("title", F.lit("things thing")), "k", ("title", "body"), stemmed=True)
+    rows = lambda df: sorted((r.term, r.doc, r.field, r.tf, r.places) for r in df.collect())
+    assert rows(stems._rows([fts.Atom(("thing",))])) == rows(stems.postings.filter("term = 'thing'")) == [("thing", i, "title", 2, [0, 1]) for i in (1, 2, 3)]
