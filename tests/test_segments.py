@@ -85,3 +85,16 @@ def test_a_documents_hits_are_made_without_a_shuffle(spark):
     stems = fts.Index.build(docs.withColumn("title", F.lit("things thing")), "k", ("title", "body"), stemmed=True)
     rows = lambda df: sorted((r.term, r.doc, r.field, r.tf, r.places) for r in df.collect())
     assert rows(stems._rows([fts.Atom(("thing",))])) == rows(stems.postings.filter("term = 'thing'")) == [("thing", i, "title", 2, [0, 1]) for i in (1, 2, 3)]
+
+
+def test_forms_of_a_stem_are_broadcast_whatever_the_vocabulary(spark, monkeypatch):
+    """Before, all postings were shuffled to the stems of a vocabulary that is too large for a broadcast."""
+    from folioforge.operators import fts
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 30)) + " thing things other") for i in range(40)], "k long, title string")
+    want = sorted(map(tuple, fts.Index.build(docs, "k", ("title",)).match("thing").collect()))
+    monkeypatch.setattr(fts, "BROADCAST_ROWS", 0)
+    index = fts.Index.build(docs, "k", ("title",))
+    rows = index._rows([fts.Atom(("thing",))])
+    assert "BroadcastHashJoin" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, index.match("thing").collect())) == want and len(want) == 40
