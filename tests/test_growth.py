@@ -134,3 +134,14 @@ def test_queries_that_meet_all_cells_are_told_in_small_batches(monkeypatch):
     rows = [(q, tuple(np.frombuffer(v)), c) for b in made for q, v, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
     assert rows == [(i, tuple(x[i]), c) for i in range(40) for c in of[i].tolist()]
     assert [b.num_rows for b in neighbours._sliced([pa.record_batch({"a": range(1100)})])] == [512, 512, 76]
+
+
+def test_stemmed_matches_are_those_of_plain_python(spark, sf_dir):
+    import re
+
+    from folioforge.functions.stem import stem
+    from folioforge.plans import bindings, catalogue
+
+    said = {r.sf_id: {stem(w) for w in re.findall(r"[^\W_]+", f"{r.title} {r.authors} {r.abstract}".lower())} for r in bindings.papers(spark, sf_dir).select("sf_id", "title", "authors", "abstract").collect()}
+    want = {i for i, w in said.items() if stem("thing") in w or {stem("attion"), stem("the")} <= w}
+    assert {r.sf_id for r in catalogue.fts_stemmed(spark, sf_dir).collect()} == want and want
