@@ -50,20 +50,27 @@ class Segments:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _write(self, hits: DataFrame, docs: DataFrame) -> dict:
-        """hits: term, place, doc, length, tf, fields (array of field, tf, places); docs: doc, place, length, terms. A new segment."""
+        """hits: term, block or place, doc, length, tf, fields (array of field, tf, places); docs: doc, place, length, terms. A new segment.
+
+        Hits are dealt by block, and a file holds its blocks by term: so they are shuffled once at most, and not at all if they come
+        by block.
+        """
         name = f"seg-{uuid.uuid4().hex}"
-        block = hits.groupBy("term", F.shiftright("place", BITS).alias("block"))
+        if "block" not in hits.columns:
+            hits = hits.withColumn("block", F.shiftright("place", BITS)).repartition("block")
+        block = hits.groupBy("block", "term")
         blocks = block.agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(F.struct("doc", "length", "tf", "fields")).alias("hits"))  # a block's documents at most
-        blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.root}/{name}/blocks")
-        docs.repartitionByRange("doc").sortWithinPartitions("doc").write.parquet(f"{self.root}/{name}/docs")
+        blocks.select("term", "block", "n", "max_tf", "min_length", "hits").sortWithinPartitions("term", "block").write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.root}/{name}/blocks")
+        docs.sortWithinPartitions("doc").write.parquet(f"{self.root}/{name}/docs")
         held = self.spark.read.parquet(f"{self.root}/{name}/docs").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("l")).first()
         return {"name": name, "docs": held["n"], "length": int(held["l"] or 0)}
 
     def add(self, docs: DataFrame) -> int:
         """Documents, one a key; those that the index has are replaced. The number of the new version."""
         number, state = self.state()
-        base = cut(docs.select(F.col(self.key).alias("doc"), *self.columns).withColumn("place", F.monotonically_increasing_id()))
+        base = docs.select(F.col(self.key).alias("doc"), *self.columns).withColumn("place", F.monotonically_increasing_id())
         if self.stemmed:
+            base = cut(base)
             # Postings and lengths carry the place along, so no join is needed to find a document's block.
             made = Index.build(base.withColumn("__doc", F.struct("doc", "place")), "__doc", self.columns, True)
             lengths = cut(made.lengths.select("doc.doc", "doc.place", "length"))
@@ -72,10 +79,11 @@ class Segments:
             hits = cut(by_doc.select("term", "doc.*", "tf", "fields").join(lengths.select("place", "length"), "place"))
             terms = hits.groupBy("place").agg(F.collect_set("term").alias("terms"))
             new = self._write(hits, lengths.join(terms, "place", "left"))
-        else:  # a document's hits are made within its row: they are shuffled once, to their blocks
+        else:  # a document's hits are made within its row, which is shuffled to its block; only these rows are written beside the segment
             whole = lambda run: F.struct(run[0]["term"].alias("term"), F.aggregate(run, F.lit(0), lambda n, x: n + x["tf"]).alias("tf"), F.transform(run, lambda x: F.struct(x["field"], x["tf"], x["places"])).alias("fields"))
-            rows = cut(split(base, self.columns, "doc", "place").select("doc", "place", "length", runs(own_postings(self.columns), ("term",), whole).alias("hits")))
-            new = self._write(rows.select("doc", "place", "length", F.inline("hits")), rows.select("doc", "place", "length", F.col("hits.term").alias("terms")))
+            base = cut(split(base, self.columns, "doc", "place").select("doc", "place", "length", runs(own_postings(self.columns), ("term",), whole).alias("hits")))
+            hits = base.withColumn("block", F.shiftright("place", BITS)).repartition("block").select("block", "doc", "length", F.inline("hits"))
+            new = self._write(hits, base.select("doc", "place", "length", F.col("hits.term").alias("terms")))
         dead = self._bury(state, base.select("doc"))
         after = {"segments": [*state["segments"], new], "dead": [*state["dead"], *dead[:1]], "dead_docs": state["dead_docs"] + dead[1], "dead_length": state["dead_length"] + dead[2]} if dead else state | {"segments": [*state["segments"], new]}
         versions.publish(self.spark, self.root, number + 1, after)

@@ -98,3 +98,20 @@ def test_forms_of_a_stem_are_broadcast_whatever_the_vocabulary(spark, monkeypatc
     rows = index._rows([fts.Atom(("thing",))])
     assert "BroadcastHashJoin" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" not in plan
     assert sorted(map(tuple, index.match("thing").collect())) == want and len(want) == 40
+
+
+def test_hits_are_dealt_by_block(spark, tmp_path, small_blocks):
+    """Hits were shuffled to their term and block and the blocks again to ranges of terms. A block's terms now lie in one file."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40).selectExpr("id as k", "concat('w', id % 7, ' common x', id) as title").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = Segments(spark, str(tmp_path / "i"), "k", ("title",), stemmed=False)
+        index.add(docs)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    blocks = spark.read.parquet(f"{index.root}/{index.state()[1]['segments'][0]['name']}/blocks").withColumn("file", F.input_file_name())
+    n = blocks.agg(F.count_distinct("block").alias("blocks"), F.count_distinct("block", "file").alias("places"), F.count_distinct("file").alias("files"), F.sum("n").alias("hits")).first()
+    assert n.blocks == n.places and n.files > 1 and n.hits == 120
+    assert [r.doc for r in index.search("common NOT w1").select("doc").collect()] == [0, 2, 3, 4, 5, 6, 7, 9, 10, 11]
