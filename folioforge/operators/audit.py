@@ -124,13 +124,20 @@ def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most:
 def check_citations(citations: DataFrame, index: DataFrame, top: int = 3, columns: Sequence[str] = ("title", "abstract")) -> DataFrame:
     """citations: cite_id, title, authors_hint, year_hint. The best ``top`` matches of each with score and status.
 
-    Without a match one row says NOT_FOUND. The year is that of update_date. Citations that say the same are looked up once, and
-    of a citation's matches, however many, each task passes ``top`` on.
+    Without a match one row says NOT_FOUND. The year is that of update_date. Citations that say the same are looked up once, their
+    phrases once a title, and of a citation's matches, however many, each task passes ``top`` on. Where titles alone are looked up,
+    rows that agree in all that is scored score alike: the ``top`` least ids of them stand for all.
     """
     said = F.struct(F.coalesce("title", F.lit("")).alias("title"), F.coalesce("authors_hint", F.lit("")).alias("authors_hint"), F.coalesce("year_hint", F.lit(0)).alias("year_hint"))
     asked = citations.groupBy(said.alias("said")).agg(F.min("cite_id").alias("cite_id")).select("cite_id", "said.*")
-    pairs = phrase_candidates(asked.select("cite_id", "title"), index, columns)
-    hit = pairs.join(asked, "cite_id").join(index.select("doc_id", F.col("title").alias("found"), F.col("authors").alias("found_authors"), tx.year_of(F.col("update_date")).alias("found_year")), "doc_id")
+    if set(columns) <= {"title"}:
+        index = best_rows(index.select("doc_id", "title", "authors", "update_date"), ["title", "authors", "update_date"], [F.asc("doc_id")], top)
+    titles = asked.groupBy("title").agg(F.min("cite_id").alias("cite_id"))
+    pairs = phrase_candidates(titles, index, columns).join(titles, "cite_id").select("title", "doc_id")
+    hit = pairs.join(asked, "title").join(index.select("doc_id", F.col("title").alias("found"), F.col("authors").alias("found_authors"), tx.year_of(F.col("update_date")).alias("found_year")), "doc_id")
+    # Pairs are few bytes but dear to score, so they are dealt by number: by size they would be one task.
+    session = citations.sparkSession
+    hit = hit.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), "cite_id", "doc_id")
     scored = hit.withColumn("score", citation_scores("title", "found", "year_hint", "found_year", "authors_hint", "found_authors"))
     best = best_rows(scored.select("cite_id", "doc_id", "found", "score"), ["cite_id"], [F.desc("score"), F.asc("doc_id")], top)
     answers = asked.join(best, "cite_id", "left").select(F.struct("title", "authors_hint", "year_hint").alias("said"), "doc_id", "found", "score")

@@ -256,3 +256,13 @@ def test_titles_that_begin_with_a_removed_mark(spark):
     papers = spark.createDataFrame([(1, "¿ abcde"), (2, "abcde")], "sf_id long, title string")
     classes = matching.title_classes(papers, "sf_id", "title")
     assert [r.sim for r in matching.trigram_pairs(classes, 0.7, plained=True).collect()] == [0.75] and not matching.trigram_pairs(classes, 0.8, plained=True).collect()
+
+
+def test_pairs_of_citations_are_scored_by_many_tasks(spark):
+    """All pairs were scored by one task, as their bytes are few; and each of a title's copies was scored."""
+    cites = spark.createDataFrame([(1, "deep nets", "ann", 2020), (2, "deep nets", "bob", 2011), (3, "none", "", 0)], "cite_id long, title string, authors_hint string, year_hint int")
+    index = spark.createDataFrame([(i, "Deep nets" if i < 9 else "Deep nets of all", "", "ann", "2020-01-01") for i in range(12)], "doc_id long, title string, abstract string, authors string, update_date string")
+    found = audit.check_citations(cites, index, columns=("title",))
+    got = sorted((r.cite_id, -1 if r.doc_id is None else r.doc_id) for r in found.collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, -1)]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
